@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import secrets, shards
+from siltstone.llm import jaccard, secrets, shards
 from siltstone.session import table
 
 
@@ -16,12 +16,16 @@ def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_hypergeometric_shards, op10_secret_spans)}
+    return {f.__name__: f for f in (op3_hypergeometric_shards, op7_jaccard_components, op10_secret_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
