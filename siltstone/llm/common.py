@@ -44,3 +44,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def filesystem(uri: str):
+    """The pyarrow file system of a URI and the path in it; plain and file: paths are local (shared) folders."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
+def write_file(uri: str, *parts: bytes) -> None:
+    """Writes a file under a hidden name and moves it, so that a task that runs twice leaves one whole file."""
+    store, path = filesystem(uri)
+    folder, _, name = path.rpartition("/")
+    store.create_dir(folder, recursive=True)
+    hidden = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(hidden) as out:
+        for part in parts:
+            out.write(part)
+    store.move(hidden, path)
+
+
+def byte_slices(batch, column: int, most: int):
+    """Slices of a record batch with up to so many bytes in a string column, at least one row each."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, b - a)
+        a = b

@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siltstone.llm.common import byte_slices
 from siltstone.llm.encode import encoder
 
 WINDOW = 2048
 RUN = 1 << 20
+SLICE = 4 << 20
 SENTENCE_PENALTY, CUT_PENALTY = 4.0, 16.0
 #: At most this many ids lie between neighbouring places for a cut.
 STEP = 128
@@ -141,8 +143,7 @@ def pack_batches(path: str, end_id: int, window: int):
             names, starts, totals, parts, held = [], [], [], [], 0
 
         for b in batches:
-            for a in range(0, b.num_rows, 512):
-                some = b.slice(a, 512)
+            for some in byte_slices(b, 1, SLICE):
                 flat, counts = enc.column(some.column(1))
                 at = 0
                 for name, n in zip(some.column(0).to_pylist(), counts.tolist(), strict=True):

@@ -7,15 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import jaccard, packing, secrets, shards
+from siltstone.llm import jaccard, packing, secrets, shards, tokenfile
 from siltstone.session import table
 
 
-def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shards.shard_documents(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
 def tokenizer_path() -> str:
     """The vocabulary file of the queries; it must be at the same place on all machines."""
     import public_tokenizers
@@ -23,6 +18,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
+def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, window=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -37,7 +42,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_hypergeometric_shards, op4_ordered_packing, op7_jaccard_components, op10_secret_spans)}
+    return {f.__name__: f for f in (op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op7_jaccard_components, op10_secret_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
