@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import jaccard, packing, secrets, shards, tokenfile
+from siltstone.llm import decontaminate, jaccard, packing, secrets, shards, tokenfile
 from siltstone.session import table
 
 
@@ -37,12 +37,16 @@ def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+
+
 def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op7_jaccard_components, op10_secret_spans)}
+    return {f.__name__: f for f in (op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op7_jaccard_components, op9_positional_index, op10_secret_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
