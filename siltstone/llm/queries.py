@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, jaccard, packing, secrets, shards, tokenfile
+from siltstone.llm import decontaminate, jaccard, packing, secrets, shards, tokenfile, warc
 from siltstone.session import table
 
 
@@ -37,6 +37,11 @@ def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0).filter("kind = 'record' and record_type <> 'warcinfo'")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
@@ -46,7 +51,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op7_jaccard_components, op9_positional_index, op10_secret_spans)}
+    return {f.__name__: f for f in (op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op7_jaccard_components, op8_warc_salvage, op9_positional_index, op10_secret_spans)}
 
 
 def oracle_sql() -> dict[str, str]:

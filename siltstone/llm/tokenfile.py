@@ -49,7 +49,7 @@ def dump(names: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocabula
 
 def load(data: bytes | memoryview) -> tuple[list[int | None], np.ndarray, Iterator[np.ndarray]]:
     """doc_ids, lengths, and the ids in pieces of some blocks each."""
-    data = memoryview(data)
+    data = memoryview(data).cast("B")
     if len(data) < 28 or data[:8] != MAGIC or data[-8:] != MAGIC:
         raise Damaged("no token file")
     size = int.from_bytes(data[-20:-12], "little")
@@ -82,13 +82,13 @@ def write_batches(tokenizer: str, folder: str, end_id: int, file_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, attempt, number = encoder(tokenizer), TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         vocabulary = max(enc.tokenizer.get_vocab_size(), end_id + 1)
         names, parts, lengths, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number, names, parts, lengths, held
-            name = f"part-{part:06d}-{number:05d}.tok"
+            name = f"part-{part:06d}-{number:05d}-{attempt}.tok"
             write_file(f"{folder}/{name}", *dump(names, np.array(lengths), np.concatenate(parts), vocabulary))
             row = pa.RecordBatch.from_pylist([{"part": part, "number": number, "name": name, "docs": len(names), "ids": held}], schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
             number, names, parts, lengths, held = number + 1, [], [], [], 0
