@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, jaccard, packing, secrets, shards, tokenfile, warc
+from siltstone.llm import decontaminate, jaccard, packing, quality, secrets, shards, tokenfile, warc
 from siltstone.session import table
 
 
+def held_out() -> Column:
+    """Rows that nothing is learnt from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def quality_model(documents: DataFrame, spark: SparkSession, sf_dir: str) -> quality.Model:
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    return quality.learn(documents, labels)
+
+
+def op1_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scores = quality.score(documents, quality_model(documents, spark, sf_dir))
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def tokenizer_path() -> str:
     """The vocabulary file of the queries; it must be at the same place on all machines."""
     import public_tokenizers
@@ -51,7 +67,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op7_jaccard_components, op8_warc_salvage, op9_positional_index, op10_secret_spans)}
+    return {f.__name__: f for f in (op1_neighbour_quality, op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op7_jaccard_components, op8_warc_salvage, op9_positional_index, op10_secret_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
