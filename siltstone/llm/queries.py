@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, jaccard, packing, quality, secrets, shards, tokenfile, warc
+from siltstone.llm import decontaminate, jaccard, jpeg, packing, quality, secrets, shards, tokenfile, warc
 from siltstone.session import table
 
 
@@ -49,6 +49,13 @@ def op4_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = jpeg.read(jpeg.store(table(spark, sf_dir, "documents")), tensors=False)
+    payload, media = F.col("payload"), F.col("media")
+    tail = F.expr("crc32(substring(payload, -16, 16))").cast("long").alias("tail_crc32")
+    return rows.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail, F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), "feature")
+
+
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -67,7 +74,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbour_quality, op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op7_jaccard_components, op8_warc_salvage, op9_positional_index, op10_secret_spans)}
+    return {f.__name__: f for f in (op1_neighbour_quality, op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op6_progressive_jpeg, op7_jaccard_components, op8_warc_salvage, op9_positional_index, op10_secret_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
