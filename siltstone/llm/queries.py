@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, jaccard, jpeg, packing, quality, secrets, shards, tokenfile, warc
+from siltstone.llm import decontaminate, jaccard, jpeg, packing, quality, secrets, shards, suffixes, tokenfile, warc
 from siltstone.session import table
 
 
@@ -49,6 +49,15 @@ def op4_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_digest(rows: DataFrame) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_digest(suffixes.dedup(table(spark, sf_dir, "documents"), width=100))
+
+
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jpeg.read(jpeg.store(table(spark, sf_dir, "documents")), tensors=False)
     payload, media = F.col("payload"), F.col("media")
@@ -74,7 +83,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbour_quality, op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op6_progressive_jpeg, op7_jaccard_components, op8_warc_salvage, op9_positional_index, op10_secret_spans)}
+    return {f.__name__: f for f in (op1_neighbour_quality, op2_token_files, op3_hypergeometric_shards, op4_ordered_packing, op5_suffix_dedup, op6_progressive_jpeg, op7_jaccard_components, op8_warc_salvage, op9_positional_index, op10_secret_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
