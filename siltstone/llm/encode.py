@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-KEEP = 600_000
-CHUNK = 4 << 20
+KEEP = 200_000
+CHUNK = 1 << 20
 #: ASCII punctuation without the apostrophe (contractions) as a character class.
 MARKS = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*"""
 SIMPLE = rf"^(?P<a>{MARKS})(?P<b>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<c>{MARKS})$"

@@ -27,8 +27,8 @@ from siltstone.llm.common import byte_slices
 from siltstone.llm.encode import encoder
 
 WINDOW = 2048
-RUN = 1 << 20
-SLICE = 4 << 20
+RUN = 1 << 19
+SLICE = 1 << 20
 SENTENCE_PENALTY, CUT_PENALTY = 4.0, 16.0
 #: At most this many ids lie between neighbouring places for a cut.
 STEP = 128
