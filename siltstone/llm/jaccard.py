@@ -6,15 +6,17 @@ number of elements by which two linked sets can differ, so linked sets agree in
 hold there is a key. No link can be lost, and unlinked sets seldom share a key.
 
 1. Keys of every node are exchanged; a window keeps the keys that two or more nodes share and names the least
-   node of each as its leader.
-2. Leaders are compared with their members (salted, so that a leader's members are spread over tasks).
+   node of each as its leader. Each node has a bitmap of its hashed elements, two bits or more for each element.
+2. Leaders are held against their members: bit counts bound the overlap from above, and only pairs that may be linked
+   have their texts fetched and their sorted arrays intersected (salted: a leader's members are spread over tasks).
 3. Keys with three or more nodes that are still in two or more components are compared in tiles: nodes in order
-   of size, blocks of a fixed number of them, pairs of blocks whose sizes are compatible. Pairs that are already
-   connected are passed over.
+   of size, blocks of a fixed number of them, pairs of blocks whose sizes are compatible. Bitmaps come first and keep
+   the nodes with a possible partner in another component. Kept nodes that share a key form clusters, so that a node's
+   text is fetched once however many keys it has; clusters are cut in tiles the same way, and arrays are intersected,
+   passing over pairs that are connected by now.
 
-In 2 and 3 a bitmap of hashed elements bounds the overlap from above by its bit counts, and sorted arrays are
-intersected where the bound allows a link. Components come from repeated joins (least label, then jumps to the
-label's label). Nothing of the corpus goes to the driver but counts and a bitmap of fixed size.
+Components come from repeated joins (least label, then jumps to the label's label). Nothing of the corpus goes to the
+driver or is broadcast but counts and a bitmap of fixed size.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are their own
 component; repeated rows and repeated ids are rows of their own, and a component's id is the least doc_id that is
@@ -31,11 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import mix64, written
+from siltstone.llm.filters import flagged
 from siltstone.llm.words import shingle_sets
 
 TILE = 512
 SALT_ROWS = 2000
-FILTER_BUCKETS = 512
 KEY_BITS = np.uint64(52)
 
 
@@ -51,17 +53,20 @@ class Keys:
     """The keys of a set, for the threshold intersection/union >= percent/100."""
 
     def __init__(self, percent: int):
-        self.percent, self.ends = percent, bands(percent, 1024)
+        self.percent = percent
+        self.reach(1 << 16)
+
+    def reach(self, size: int) -> None:
+        self.ends = np.array(bands(self.percent, 2 * size), np.int64)
 
     def band(self, n: int) -> int:
-        while self.ends[-1] <= n:
-            self.ends.append(max(self.ends[-1] + 1, -(-self.ends[-1] * 100 // self.percent)))
+        if n >= self.ends[-3]:
+            self.reach(2 * n)
         return int(np.searchsorted(self.ends, n, side="right")) - 1
 
     def parts(self, band: int) -> int:
         """One more than the elements by which two linked sets can differ whose sizes are in this band or below."""
-        self.band(self.ends[-1]) if band + 2 > len(self.ends) else None
-        most = self.ends[band + 1] - 1
+        most = int(self.ends[band + 1]) - 1
         return 2 * most * (100 - self.percent) // (100 + self.percent) + 1
 
     def of(self, items: np.ndarray) -> np.ndarray:
@@ -72,7 +77,6 @@ class Keys:
         out = []
         mine = self.band(n)
         for band in (mine, mine + 1):
-            self.band(self.ends[-1])
             p = self.parts(band)
             edges = np.searchsorted((items >> np.uint64(32)) * np.uint64(p) >> np.uint64(32), np.arange(p + 1))
             tag = np.arange(p, dtype=np.uint64) + np.uint64(band << 40)
@@ -91,8 +95,9 @@ def node_of(items: np.ndarray) -> int:
 def narrow_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [(len(s), node_of(s)) for s in shingle_sets(b.column(1), k)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([x for _, x in sets], pa.int64())], names=["doc_id", "n", "node"])
+            sets = [(len(s), node_of(s), sketch(s)) for s in shingle_sets(b.column(2), k)]
+            columns = [pa.array([x[i] for x in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["doc_id", "h", "n", "node", "sketch"])
 
     return run
 
@@ -127,16 +132,18 @@ def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, per
     return 100 * both >= percent * (a + b - both)
 
 
-class Bitmaps:
-    """Bitmaps of hashed elements for sets up to a size."""
+def sketch(items: np.ndarray) -> bytes:
+    """A bitmap of hashed elements, of a power of two bits: two for each element or more, 64 to 2^17."""
+    width = min(1 << 17, max(64, 1 << (2 * max(1, len(items)) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(items & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
-    def __init__(self, most: int):
-        self.width = min(8192, max(256, 1 << (2 * most - 1).bit_length()))
 
-    def of(self, items: np.ndarray) -> np.ndarray:
-        bits = np.zeros(self.width, np.uint8)
-        bits[(items & np.uint64(self.width - 1)).astype(np.int64)] = 1
-        return np.packbits(bits).view(np.uint64)
+def folded(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps of different widths as rows of the smallest width: the low bits of a hash are its place in any."""
+    least = min(map(len, bitmaps))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, least // 8), axis=0) for b in bitmaps])
 
 
 def possible(bits: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -160,7 +167,7 @@ def star_batches(k: int, percent: int):
     """Rows (leader, salt, member, node, text), a leader's own row before its members: yields the links found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, lead_set, maps, bits = None, None, None, None
+        lead, lead_set = None, None
         for b in batches:
             leaders, salts, nodes = (b.column(i).to_pylist() for i in (0, 1, 3))
             found = []
@@ -168,11 +175,10 @@ def star_batches(k: int, percent: int):
                 if (leader, salt) != lead:
                     lead, lead_set = (leader, salt), None
                 if node == leader:
-                    lead_set, maps = items, Bitmaps(2 * len(items))
-                    bits = maps.of(items)
+                    lead_set = items
                 elif lead_set is None:
                     raise ValueError("a leader's own row must come first")
-                elif possible(bits, len(lead_set), maps.of(items)[None], np.array([len(items)]), percent)[0] and linked(overlap(lead_set, items), len(lead_set), len(items), percent):
+                elif linked(overlap(lead_set, items), len(lead_set), len(items), percent):
                     found.append((leader, node))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
@@ -180,43 +186,97 @@ def star_batches(k: int, percent: int):
     return run
 
 
-def tile_links(sets: list[np.ndarray], comps: list[int], sides: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """Links between sets of different components until all that are linked are connected; sides: 0 and 1 are compared with each other, 2 with all."""
-    parent = {c: c for c in comps}
+def pair_batches(percent: int):
+    """Rows (a, b, sizes, bitmaps): keeps the pairs that may be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = [b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]
+            keep = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
+            for i in np.flatnonzero(keep).tolist():
+                bits = folded([b.column(4)[i].as_py(), b.column(5)[i].as_py()])
+                keep[i] = possible(bits[0], int(sizes[0][i]), bits[1:], sizes[1][i : i + 1], percent)[0]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["leader", "node"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of the rows whose first columns agree; rows come sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = last is not None and last != tuple(c[0] for c in cols)
+        last = tuple(c[-1] for c in cols)
+        edges = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for n, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+            if n and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            if y > x:
+                held.append(b.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def apart_pairs(comps: np.ndarray, side: np.ndarray, sizes: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Nodes after i that it must be compared with; side: 0 and 1 are compared with each other, 2 with all."""
+    rest = np.arange(i + 1, len(sizes))
+    rest = rest[(comps[rest] != comps[i]) & ((side[rest] != side[i]) | (side[i] == 2))]
+    return rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
+
+
 
-    def top(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
 
-    sizes = np.array([len(s) for s in sets])
-    maps = Bitmaps(int(sizes.max()))
-    bits = np.stack([maps.of(s) for s in sets])
-    side = np.array(sides)
-    now = np.array([top(c) for c in comps])
+def sketch_tiles(percent: int):
+    """For each pair of tiles the nodes with a possible partner of another component (b), and the least of them (a)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 3):
+            comps, side, sizes = (t.column(c).to_numpy() for c in ("comp", "side", "size"))
+            if (comps == comps[0]).all():
+                continue
+            bits = folded(t.column("sketch").to_pylist())
+            keep = np.zeros(len(sizes), bool)
+            for i in range(len(sizes) - 1):
+                rest = apart_pairs(comps, side, sizes, i, percent)
+                if len(rest):
+                    rest = rest[possible(bits[i], int(sizes[i]), bits[rest], sizes[rest], percent)]
+                    keep[rest] = True
+                    keep[i] |= len(rest) > 0
+            if keep.any():
+                nodes = t.column("node").to_numpy()[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), nodes.min())), pa.array(nodes)], names=["a", "b"])
+
+    return run
+
+
+def tile_links(sets: list[np.ndarray], comps: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between sets of different components until all that are linked are connected."""
+    sizes, now = np.array([len(s) for s in sets]), comps.copy()
+    bits = folded([sketch(s) for s in sets])
     for i in range(len(sets) - 1):
-        rest = np.arange(i + 1, len(sets))
-        rest = rest[(now[rest] != now[i]) & ((side[rest] != side[i]) | (side[i] == 2))]
-        rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
+        rest = apart_pairs(now, side, sizes, i, percent)
         if not len(rest):
             continue
         for j in rest[possible(bits[i], int(sizes[i]), bits[rest], sizes[rest], percent)].tolist():
             if now[i] != now[j] and linked(overlap(sets[i], sets[j]), int(sizes[i]), int(sizes[j]), percent):
                 yield i, j
-                a, b = now[i], now[j]
-                parent[b] = a
-                now[now == b] = a
+                now[now == now[j]] = now[i]
 
 
-def tile_groups(k: int, percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("node").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        sets = list(shingle_sets(table.column("text"), k))
-        nodes = table.column("node").to_pylist()
-        found = list(tile_links(sets, table.column("comp").to_pylist(), table.column("side").to_pylist(), percent))
-        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
+def exact_tiles(k: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 3):
+            found = list(tile_links(list(shingle_sets(t.column("text"), k)), t.column("comp").to_numpy(), t.column("side").to_numpy(), percent))
+            nodes = t.column("node").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -238,66 +298,72 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("next").alias("comp"))
 
 
-def prefilter(df: DataFrame, hashed, chosen: DataFrame) -> DataFrame:
-    """Drops most rows of df whose hashed value is not in chosen(h), by a bitmap of a fixed size; keeps all others."""
-    bits = 32768
-    bit = F.pmod("h", F.lit(FILTER_BUCKETS * bits))
-    maps = chosen.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / bits).cast("int").alias("__bucket")).agg(F.expr(f"bitmap_construct_agg(bit % {bits})").alias("__map"))
-    df = df.withColumn("__bit", F.pmod(hashed, F.lit(FILTER_BUCKETS * bits))).withColumn("__bucket", F.floor(F.col("__bit") / bits).cast("int"))
-    byte = f"cast(conv(hex(substring(__map, cast((__bit % {bits}) div 8 as int) + 1, 1)), 16, 10) as int)"
-    kept = df.join(F.broadcast(maps), "__bucket").filter(F.expr(f"shiftright({byte}, cast(__bit % 8 as int)) & 1 = 1"))
-    return kept.drop("__bit", "__bucket", "__map")
-
-
 def texts_of(documents: DataFrame, narrow: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node and text of one row for each of the given nodes."""
     ids = narrow.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = written(ids.select("node", "doc_id", F.xxhash64("doc_id").alias("h")), "chosen")
-    near = prefilter(documents.select("doc_id", "text"), F.xxhash64("doc_id"), ids.select("h"))
+    near = flagged(documents.select("doc_id", "text"), F.xxhash64("doc_id"), ids.select("h")).filter("__maybe")
     # repeated ids are told apart by computing the node again
     rows = near.join(ids.drop("h"), near.doc_id.eqNullSafe(ids.doc_id)).select("node", "text")
     return rows.mapInArrow(own_rows(k), "node long, text string").dropDuplicates(["node"])
 
 
 def links_and_components(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """narrow (doc_id, n, node) of all rows, and comp of each node that has a link."""
+    """narrow (doc_id, hash of the text, n, node) of all rows, and comp of each node that has a link."""
     documents = documents.select("doc_id", "text")
-    narrow = written(documents.mapInArrow(narrow_batches(k), "doc_id long, n long, node long"), "jaccard-rows")
+    hashed = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    narrow = written(hashed.mapInArrow(narrow_batches(k), "doc_id long, h long, n long, node long, sketch binary"), "jaccard-rows")
     rows = documents.select("text").mapInArrow(key_batches(k, percent), "key long, node long")
     by_key = Window.partitionBy("key")
     shared = rows.withColumn("leader", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key)).filter("leader < last").select("key", "node", "leader").distinct()
     shared = written(shared, "jaccard-keys")
-    nodes = shared.select("node").distinct()
-    texts = written(texts_of(documents, narrow, nodes, k), "jaccard-texts")
+    nodes = narrow.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes, "jaccard-nodes")
 
-    # leaders against their members
+    # leaders against their members: bitmaps, then texts
     star = shared.filter("node <> leader").select("leader", "node").distinct()
+    heads = nodes.select(F.col("node").alias("leader"), F.col("size").alias("lead_size"), F.col("sketch").alias("lead_sketch"))
+    star = star.join(nodes, "node").join(heads, "leader").select("leader", "node", "lead_size", "size", "lead_sketch", "sketch")
+    star = written(star.mapInArrow(pair_batches(percent), "leader long, node long"), "jaccard-pairs")
     wide = star.groupBy("leader").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    star = star.join(wide, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "node")
+    members = star.join(wide, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "node")
     heads = wide.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("leader").alias("node"))
-    pairs = star.unionByName(heads).join(texts, "node").select("leader", "salt", "member", "node", "text")
+    texts = texts_of(documents, narrow, star.select("node").union(star.select("leader")).distinct(), k)
+    pairs = members.unionByName(heads).join(texts, "node").select("leader", "salt", "member", "node", "text")
     pairs = pairs.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member", "node")
     links = written(pairs.mapInArrow(star_batches(k, percent), "a long, b long"), "jaccard-stars")
     comps = components(links)
 
-    # keys whose nodes are still apart, one of each set of nodes
+    # keys whose nodes are still apart, one of each set of nodes, in tiles
     put = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     apart = put.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")).filter("lo < hi and n > 2")
     apart = apart.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key")
-    sized = put.join(apart, "key", "left_semi").join(narrow.select("node", "n").distinct(), "node")
-    sized = written(sized.select("key", "node", "comp", F.col("n").alias("size")), "jaccard-apart")
-    ranked = sized.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("size", "node")) - 1) / TILE).cast("int"))
-    tiles = ranked.groupBy("key", "tile").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    other = tiles.select("key", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"))
-    blocks = tiles.join(other, "key").filter((F.col("tile2") >= F.col("tile")) & (100 * F.col("hi") >= percent * F.col("lo2"))).select("key", "tile", "tile2")
-    left = ranked.join(blocks, ["key", "tile"]).select("key", "tile", "tile2", "node", "comp", F.when(F.col("tile") == F.col("tile2"), 2).otherwise(0).alias("side"))
-    right = ranked.withColumnRenamed("tile", "tile2").join(blocks.filter("tile < tile2"), ["key", "tile2"]).select("key", "tile", "tile2", "node", "comp", F.lit(1).alias("side"))
-    work = left.unionByName(right).join(texts, "node")
-    more = work.groupBy("key", "tile", "tile2").applyInArrow(tile_groups(k, percent), "a long, b long")
-    more = written(more, "jaccard-tiles")
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
-    return narrow, comps
+    sized = put.join(apart, "key", "left_semi").join(nodes.select("node", "size"), "node").select("key", "node", "comp", "size")
+    sized = written(sized, "jaccard-apart")
+    order = ["key", "tile", "tile2"]
+    work = in_tiles(sized, percent).join(nodes.select("node", "sketch"), "node")
+    work = work.select(*order, "node", "comp", "side", "size", "sketch").repartition(*order).sortWithinPartitions(*order, "size", "node")
+    near = written(work.mapInArrow(sketch_tiles(percent), "a long, b long").distinct(), "jaccard-tiles")
+    if near.isEmpty():
+        return narrow, comps
+    clusters = components(near).select("node", F.col("comp").alias("key"))
+    clusters = clusters.join(nodes.select("node", "size"), "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), "size")
+    work = in_tiles(written(clusters, "jaccard-clusters"), percent).join(texts_of(documents, narrow, clusters.select("node"), k), "node")
+    work = work.select(*order, "node", "comp", "side", "text").repartition(*order).sortWithinPartitions(*order, "node")
+    more = written(work.mapInArrow(exact_tiles(k, percent), "a long, b long"), "jaccard-more")
+    return narrow, comps if more.isEmpty() else components(links.unionByName(more))
+
+
+def in_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """key, node, comp, size as pairs of tiles of a key's nodes by size: those whose sizes are compatible, each tile with itself too."""
+    ranked = rows.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("size", "node")) - 1) / TILE).cast("int"))
+    ends = ranked.groupBy("key", "tile").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    other = ends.select("key", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"))
+    blocks = ends.join(other, "key").filter((F.col("tile2") >= F.col("tile")) & (100 * F.col("hi") >= percent * F.col("lo2"))).select("key", "tile", "tile2")
+    cols = ["key", "tile", "tile2", "node", "comp", "size"]
+    left = ranked.join(blocks, ["key", "tile"]).select(*cols, F.when(F.col("tile") == F.col("tile2"), 2).otherwise(0).alias("side"))
+    right = ranked.withColumnRenamed("tile", "tile2").join(blocks.filter("tile < tile2"), ["key", "tile2"]).select(*cols, F.lit(1).alias("side"))
+    return left.unionByName(right)
 
 
 def own_rows(k: int):
@@ -318,3 +384,23 @@ def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     least = rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = rows.filter("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def representatives(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, with all its columns: that of the least doc_id (null last), then the least text hash.
+
+    Rows with an empty set are all kept, but for repeated rows (equal id and text), of which one stays.
+    """
+    narrow, comps = links_and_components(documents, k, percent)
+    rows = narrow.filter("n > 0").join(comps, "node", "left").select("doc_id", "h", F.coalesce("comp", "node").alias("comp"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    best = rows.groupBy("comp").agg(F.min(order).alias("best"), F.count("*").alias("rows")).filter("rows > 1")
+    gone = written(rows.join(best, "comp").filter(order != F.col("best")).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "jaccard-gone")
+    again = written(narrow.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).filter("rows > 1").select("h").distinct(), "jaccard-again")
+    text_hash = F.xxhash64("text")
+    kept = documents.join(gone, documents.doc_id.eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")), "left_anti")
+    if again.isEmpty():
+        return kept
+    told = flagged(kept.withColumn("__h", text_hash), F.col("__h"), again)
+    once = told.filter("__maybe").dropDuplicates(["doc_id", "__h"])
+    return told.filter("not __maybe").unionByName(once).select(*documents.columns)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from siltstone.llm.common import mix64
 
@@ -90,14 +91,20 @@ def word_hashes(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def shingle_sets(column: pa.Array, k: int, table: np.ndarray = SPACED) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles; all its words as one if it has fewer; none without words."""
-    hashes, counts = word_hashes(column, table)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     weights = mix64(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
-    at = 0
-    for n in counts.tolist():
-        h = hashes[at : at + n]
-        at += n
-        m = max(1, n - k + 1) if n else 0
-        total = np.full(m, min(n, k), dtype=np.uint64)
-        for j in range(min(n, k)):
-            total += h[j : j + m] * weights[j]
-        yield np.unique(mix64(total))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK, side="right")))
+        hashes, counts = word_hashes(column.slice(a, b - a), table)
+        a, at = b, 0
+        for n in counts.tolist():
+            h = hashes[at : at + n]
+            at += n
+            m = max(1, n - k + 1) if n else 0
+            total = np.full(m, min(n, k), dtype=np.uint64)
+            for j in range(min(n, k)):
+                total += h[j : j + m] * weights[j]
+            yield np.unique(mix64(total))

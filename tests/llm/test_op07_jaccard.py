@@ -89,8 +89,8 @@ def test_keys_lose_no_link():
             a, b = np.unique(both), np.unique(np.concatenate((both[: max(1, n - int(rng.integers(0, n)))], rng.integers(0, 2**64, int(rng.integers(0, extra + 1)), dtype=np.uint64))))
             if jaccard.linked(jaccard.overlap(a, b), len(a), len(b), percent):
                 assert set(keys.of(a).tolist()) & set(keys.of(b).tolist())
-                maps = jaccard.Bitmaps(max(len(a), len(b)))
-                assert jaccard.possible(maps.of(a), len(a), maps.of(b)[None], np.array([len(b)]), percent)[0]
+                bits = jaccard.folded([jaccard.sketch(a), jaccard.sketch(b)])
+                assert jaccard.possible(bits[0], len(a), bits[1:], np.array([len(b)]), percent)[0]
 
 
 def test_words_over_chunk_edges(monkeypatch):
