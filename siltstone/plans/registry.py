@@ -1,19 +1,319 @@
-"""Queries over the supplied tables, each with SQL that another engine can run."""
+"""Queries over the supplied tables, each with SQL that another engine can run, written from the semantics."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.functions import text, udfs
+from siltstone.operators import dataset, generate, prompts, seeds, validate
+from siltstone.plans import corpus
+from siltstone.sources.files import numbered, sliced
+from siltstone.sources.sinks import resumed, seed_rows
+from siltstone.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = f"WITH code AS ({corpus.CODE}), completions AS ({corpus.COMPLETIONS}) " + sql
+        return f
+
+    return add
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    # the corpus' one table is named by a placeholder, so that sessions can run several queries at once
+    return spark.sql(sql.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, corpus.CODE)
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, corpus.COMPLETIONS)
+
+
+def alternatives(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+BANNED = " AND ".join(f"NOT contains(content, '{w}')" for w in text.BANNED_WORDS)
+IMPORTS = r"list_distinct(list_transform(regexp_extract_all(content, '(?m)^\s*(?:from|import)\s+([a-zA-Z0-9_.]+)', 1), lambda m: split_part(m, '.', 1)))"
+FORBIDDEN = f"NOT list_has_any({IMPORTS}, [{alternatives(text.FORBIDDEN_IMPORTS)}])"
+RETURN = r"regexp_matches(content, '(^|[^\p{L}\p{N}_])return($|[^\p{L}\p{N}_])')"
+SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+ARGS = r"trim(regexp_extract(content, 'def\s+[a-zA-Z_][a-zA-Z0-9_]*\s*\((.*?)\)', 1)) NOT IN ('', 'self')"
+
+
+def stripped(e: str) -> str:
+    return f"regexp_replace({e}, '^{SPACE}|{SPACE}$', '', 'g')"
+
+
+REST = "CASE WHEN prompt <> '' AND starts_with(output, prompt) THEN substr(output, length(prompt) + 1) ELSE output END"
+
+
+@query(f"SELECT id FROM code WHERE {BANNED}")
+def banned_word_filter(spark, sf_dir):
+    return code(spark, sf_dir).filter(text.no_banned_word(F.col("content"))).select("id")
+
+
+@query(f"SELECT id FROM code WHERE {FORBIDDEN}")
+def forbidden_import_filter(spark, sf_dir):
+    return code(spark, sf_dir).filter(text.no_forbidden_import(F.col("content"))).select("id")
+
+
+@query(f"SELECT id FROM code WHERE {RETURN}")
+def has_return_filter(spark, sf_dir):
+    return code(spark, sf_dir).filter(text.has_return(F.col("content"))).select("id")
+
+
+@query(f"SELECT id FROM code WHERE {ARGS}")
+def has_args_filter(spark, sf_dir):
+    return code(spark, sf_dir).filter(text.has_args(F.col("content"))).select("id")
+
+
+GOOD = f"{BANNED} AND {FORBIDDEN} AND {RETURN} AND {ARGS}"
+
+
+@query(f"SELECT id, content FROM code WHERE {GOOD}")
+def seed_quality_native(spark, sf_dir):
+    return code(spark, sf_dir).filter(text.good_seed(F.col("content")))
+
+
+@query(f"SELECT module, count(*) AS n FROM (SELECT unnest({IMPORTS}) AS module FROM code) GROUP BY module")
+def import_counts(spark, sf_dir):
+    return code(spark, sf_dir).select(F.explode(text.imports(F.col("content"))).alias("module")).groupBy("module").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT text AS content FROM documents")
+def exact_dedup_docs(spark, sf_dir):
+    return seeds.distinct(table(spark, sf_dir, "documents").select(F.col("text").alias("content")))
+
+
+@query(f"SELECT count(*) AS raw_functions, count(*) FILTER ({GOOD}) AS filtered_functions, coalesce(100.0::DOUBLE * count(*) FILTER ({GOOD}) / nullif(count(*), 0), 0) AS filter_rate FROM code")
+def seed_stats(spark, sf_dir):
+    return seeds.seed_stats(code(spark, sf_dir))
+
+
+@query("SELECT row_number() OVER (ORDER BY seed) - 1 AS id, seed FROM (SELECT DISTINCT text AS seed FROM documents WHERE text <> '')")
+def seed_numbering(spark, sf_dir):
+    return seed_rows(exact_dedup_docs(spark, sf_dir))
+
+
+def prompt_sql(mode: str) -> str:
+    before, after = (x.replace("'", "''") for x in prompts.frame(mode))
+    return f"SELECT id, md5('{before}' || content || '{after}') AS prompt_md5 FROM code"
+
+
+def prompt_query(mode: str, name: str) -> None:
+    def run(spark, sf_dir):
+        rows = code(spark, sf_dir).withColumnRenamed("content", prompts.columns(mode)[0])
+        return prompts.prompted(rows, mode).select("id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+    run.__name__ = name
+    query(prompt_sql(mode))(run)
+
+
+for _mode, _name in (("S->C", "prompt_s2c"), ("C->I", "prompt_c2i"), ("I->R", "prompt_i2r")):
+    prompt_query(_mode, _name)
+
+
+@query("SELECT id, 6 AS messages, length(content) AS last_chars FROM code")
+def prompt_chat_sizes(spark, sf_dir):
+    rows = prompts.prompted(code(spark, sf_dir).withColumnRenamed("content", "seed"), "S->C", chat_format=True)
+    return rows.select("id", F.size("prompt").alias("messages"), F.length(F.element_at("prompt", -1)["content"]).alias("last_chars"))
+
+
+@query(f"SELECT id, {stripped(REST)} AS completion FROM completions")
+def completion_extract(spark, sf_dir):
+    return completions(spark, sf_dir).select("id", text.completion(F.col("prompt"), F.col("output")).alias("completion"))
+
+
+CUTS = ", ".join(f"coalesce(nullif(instr(output, '{t.replace(chr(39), chr(39) * 2)}'), 0), length(output) + 1)" for t in text.TERMINATORS)
+
+
+@query(f"SELECT id, {stripped(f'substr(output, 1, least({CUTS}) - 1)')} AS instruction FROM completions")
+def instruction_truncate(spark, sf_dir):
+    return completions(spark, sf_dir).select("id", text.truncated(F.col("output")).alias("instruction"))
+
+
+@query(f"SELECT id, {stripped(f'CASE WHEN regexp_matches(output, {chr(39)}(?s)```(python)?(.*?)```{chr(39)}) THEN regexp_extract(output, {chr(39)}(?s)```(?:python)?(.*?)```{chr(39)}, 1) ELSE output END')} AS response FROM completions")
+def code_fence_extract(spark, sf_dir):
+    return completions(spark, sf_dir).select("id", text.code_of(F.col("output")).alias("response"))
+
+
+@query(f"SELECT id, {stripped('''split_part(substr(output, CASE WHEN instr(output, '<response>') > 0 THEN instr(output, '<response>') + 10 ELSE 10 END), '</response>', 1)''')} AS response FROM completions")
+def response_tag_extract(spark, sf_dir):
+    return completions(spark, sf_dir).select("id", text.tagged_response(F.col("output")).alias("response"))
+
+
+def sanitize_sql(e: str) -> str:
+    for name in text.REMOVED_IMPORTS:
+        for tail in (rf"import\s+{name}.*?", rf"from\s+{name}\s+import.*?"):
+            e = rf"regexp_replace({e}, '(^|\n)(\s*){tail}($|\n)', '\1\2{text.REMOVED_NOTE}{name}\3', 'g')"
+    return e
+
+
+def calls_sql(e: str) -> str:
+    for name in ("open", "eval", "exec"):
+        e = rf"regexp_replace({e}, '{name}\s*\(', '# {name}(', 'g')"
+    return e
+
+
+@query(f"SELECT id, {sanitize_sql('content')} AS code FROM code")
+def sanitize_imports(spark, sf_dir):
+    return code(spark, sf_dir).select("id", text.without_imports(F.col("content")).alias("code"))
+
+
+@query(f"SELECT id, {calls_sql('''replace(content, 'pass', 'x = literal_eval (open(1))')''')} AS code FROM code")
+def sanitize_calls(spark, sf_dir):
+    return code(spark, sf_dir).select("id", text.without_calls(F.replace("content", F.lit("pass"), F.lit("x = literal_eval (open(1))"))).alias("code"))
+
+
+def script_sql() -> str:
+    pieces = [p.replace("{{", "{").replace("}}", "}").replace("'", "''") for p in text.HARNESS.split("{name}")]
+    return "content || " + " || name || ".join(f"'{p}'" for p in pieces)
+
+
+@query(f"SELECT id, CASE WHEN name IS NULL THEN content ELSE {script_sql()} END AS script FROM (SELECT *, CASE WHEN id % 4 > 0 THEN 'f' || CAST(id AS STRING) END AS name FROM code)")
+def test_script(spark, sf_dir):
+    name = F.when(F.col("id") % 4 > 0, F.concat(F.lit("f"), F.col("id").cast("string")))
+    return code(spark, sf_dir).select("id", text.script(F.col("content"), name).alias("script"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576)
+  WHEN n < 1099511627776 THEN printf('%.1f GB', n / 1073741824) ELSE printf('%.1f TB', n / 1099511627776) END AS size FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey * o_orderkey AS DOUBLE) AS n FROM orders)""")
+def humanize_size(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), text.humanized((k * k * k).cast("double")).alias("size"))
+
+
+VALUE = "CASE doc_id % 5 WHEN 0 THEN CAST(doc_id AS STRING) WHEN 1 THEN CAST(doc_id AS STRING) || '.5' WHEN 2 THEN '-' || CAST(doc_id AS STRING) WHEN 3 THEN substr(text, 1, 5) ELSE '1e5' END"
+
+
+@query(f"SELECT id, CASE WHEN regexp_full_match(v, '[0-9]+') THEN 'int' WHEN regexp_full_match(v, '[0-9]+\\.[0-9]*|\\.[0-9]+') THEN 'float' ELSE 'string' END AS kind FROM (SELECT doc_id AS id, {VALUE} AS v FROM documents)")
+def typed_config(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.typed(F.expr(VALUE)).alias("kind"))
+
+
+@query("SELECT id, sample_idx FROM code, (SELECT unnest([0, 1, 2]) AS sample_idx)")
+def sample_replicate(spark, sf_dir):
+    return prompts.prompted(code(spark, sf_dir).withColumnRenamed("content", "seed"), "S->C", samples=3).select("id", "sample_idx")
+
+
+@query("SELECT doc_id, ordinal FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents) WHERE ordinal >= 20 AND ordinal < 120")
+def slice_items(spark, sf_dir):
+    rows = numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return sliced(rows, "ordinal", 20, 100).select("doc_id", "ordinal")
+
+
+#: By construction: kinds of docstring 0 and 1 qualify.
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 4 < 2 THEN 1 ELSE 0 END AS functions FROM documents")
+def extract_per_file_counts(spark, sf_dir):
+    return code(spark, sf_dir).select("id", F.size(udfs.functions("content")).alias("functions"))
+
+
+@query("""SELECT id, replace(rtrim(regexp_replace(substr(content, instr(content, CASE id % 9 WHEN 8 THEN 'async def' ELSE 'def f' END)), '(1/0|def \\(:)\\n$', ''), chr(10)), chr(13), '') AS content
+  FROM code WHERE id % 4 < 2""")
+def extract_functions(spark, sf_dir):
+    return code(spark, sf_dir).select("id", F.explode(udfs.functions("content")).alias("content")).withColumn("content", F.replace("content", F.lit("\r"), F.lit("")))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 13 <> 1 AND doc_id % 9 <> 8 THEN 'f' || CAST(doc_id AS STRING) END AS function_name FROM documents")
+def function_name(spark, sf_dir):
+    return code(spark, sf_dir).select("id", udfs.main_name("content").alias("function_name"))
+
+
+@query("SELECT doc_id AS id, CAST(CASE WHEN doc_id % 13 = 1 THEN 100 ELSE 1 + CASE WHEN doc_id % 3 > 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 3 > 1 THEN 1 ELSE 0 END END AS INTEGER) AS complexity FROM documents")
+def complexity(spark, sf_dir):
+    return code(spark, sf_dir).select("id", udfs.complexity("content").alias("complexity"))
+
+
+@query("SELECT doc_id AS id, doc_id % 13 <> 1 AND doc_id % 9 <> 8 AND doc_id % 7 = 4 AS has_type_annotations FROM documents")
+def has_annotations(spark, sf_dir):
+    return code(spark, sf_dir).select("id", udfs.annotated("content").alias("has_type_annotations"))
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validated code rows, every 19th without code; `file` stands for the input they came from."""
+    rows = code(spark, sf_dir).select("id", F.when(F.col("id") % 19 > 0, F.col("content")).alias("response"), F.concat(F.lit("file"), (F.col("id") % 3).cast("string")).alias("file"))
+    return validate.validated(rows.repartition(spark.sparkContext.defaultParallelism, "id"))
+
+
+#: Invalid: no code, an error at module level (a division, an import of what is no package), a syntax error.
+VALID = "(doc_id % 19 > 0 AND doc_id % 13 > 1 AND doc_id % 5 <> 2)"
+ROWS = f"(SELECT doc_id AS id, 'file' || CAST(doc_id % 3 AS STRING) AS file, {VALID} AS valid FROM documents)"
+
+
+@query(f"SELECT doc_id AS id, {VALID} AS execution_valid, CASE WHEN doc_id % 19 = 0 THEN 'No code provided' WHEN {VALID} THEN 'ran' ELSE 'error' END AS kind FROM documents")
+def execute_validate(spark, sf_dir):
+    kind = F.when(F.col("execution_output") == "No code provided", F.col("execution_output")).when(F.col("execution_valid"), F.lit("ran")).otherwise(F.lit("error"))
+    return run(spark, sf_dir).select("id", "execution_valid", kind.alias("kind"))
+
+
+@query(f"SELECT count(*) AS total_items, count(*) FILTER (valid) AS valid_items, count(*) FILTER (valid) / count(*) AS validation_rate FROM {ROWS}")
+def validation_stats(spark, sf_dir):
+    return validate.stats(run(spark, sf_dir))
+
+
+@query(f"SELECT file, count(*) AS total_items, count(*) FILTER (valid) AS valid_items, count(*) FILTER (valid) / count(*) AS validation_rate FROM {ROWS} GROUP BY file")
+def per_file_stats(spark, sf_dir):
+    return validate.file_stats(run(spark, sf_dir), "file")
+
+
+@query("SELECT doc_id, lang, NULL::STRING AS source FROM documents UNION ALL SELECT doc_id, NULL, source FROM documents")
+def union_results(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return dataset.union(d.select("doc_id", "lang"), d.select("doc_id", "source"))
+
+
+@query("SELECT doc_id, lang, NULL::STRING AS source FROM documents WHERE doc_id < 10 UNION ALL SELECT doc_id, lang, source FROM documents")
+def resume_append(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return resumed(d.filter("doc_id < 10").select("doc_id", "lang"), d.select("doc_id", "lang", "source"))
+
+
+@query("SELECT coalesce(lang, '') AS instruction, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS response FROM documents WHERE doc_id % 3 = 0")
+def final_dataset(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    flag = F.when(F.col("doc_id") % 3 == 0, F.lit(True)).when(F.col("doc_id") % 3 == 1, F.lit(False))
+    return dataset.final(d.select(F.col("lang").alias("instruction"), F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("response"), flag.alias("execution_valid")))
+
+
+CHAIN = """SELECT id, seed, concept, instruction, 'def solve(x):' || chr(10) || '    return ''' || substr(md5(instruction), 1, 8) || '''' AS response
+  FROM (SELECT *, 'Task for ' || concept AS instruction FROM (SELECT id, seed, 'Idea ' || substr(md5(seed), 1, 8) AS concept FROM (SELECT id, content AS seed FROM code)))"""
+
+
+@query(CHAIN)
+def three_stage_chain(spark, sf_dir):
+    return generate.chain(code(spark, sf_dir).select("id", F.col("content").alias("seed")))
+
+
+@query(f"SELECT count(*) AS functions, count(*) FILTER ({GOOD}) AS kept, count(DISTINCT id % 3) AS files FROM code")
+def pipeline_report_metrics(spark, sf_dir):
+    rows = code(spark, sf_dir)
+    return rows.agg(F.count("*").alias("functions"), F.count_if(text.good_seed(F.col("content"))).alias("kept"), F.count_distinct(F.col("id") % 3).alias("files"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """From files to a validated dataset, with the stand-in generator; nothing is kept between the stages."""
+    found = seeds.filtered(seeds.distinct(seeds.extracted(code(spark, sf_dir))))
+    rows = generate.chain(found.select(F.col("content").alias("seed")))
+    return dataset.final(validate.validated(rows))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
