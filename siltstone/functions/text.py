@@ -5,6 +5,7 @@ Patterns carry (?d), so that only a line feed ends a line, and (?U), so that whi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -25,6 +26,11 @@ SIGNATURE = r"(?dU)def\s+[a-zA-Z_][a-zA-Z0-9_]*\s*\((.*?)\)"
 FENCE = r"(?s)```(?:python)?(.*?)```"
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) with c computed once, however often it is named: nested uses would else grow without bound in the plan."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(c, EDGES, "")
@@ -60,27 +66,30 @@ def good_seed(c: Column) -> Column:
 
 def completion(prompt: Column, output: Column) -> Column:
     """A model's output without the prompt that it repeats."""
-    rest = F.when((prompt != "") & F.startswith(output, prompt), F.substring(output, F.length(prompt) + 1, F.length(output))).otherwise(output)
-    return strip(rest)
+    rest = lambda p, o: F.when((p != "") & F.startswith(o, p), F.substring(o, F.length(p) + 1, F.length(o))).otherwise(o)
+    return strip(let(prompt, lambda p: let(output, lambda o: rest(p, o))))
 
 
 def truncated(c: Column, terminators: tuple[str, ...] = TERMINATORS) -> Column:
     """Up to the first terminator. As given they hold a backslash and an n; pass line feeds for the evident intent."""
-    ends = [F.coalesce(F.nullif(F.instr(c, F.lit(t)), F.lit(0)), F.length(c) + 1) for t in terminators]
-    return strip(F.substring(c, F.lit(1), F.least(*ends) - 1))
+
+    def cut(s: Column) -> Column:
+        ends = [F.coalesce(F.nullif(F.instr(s, F.lit(t)), F.lit(0)), F.length(s) + 1) for t in terminators]
+        return F.substring(s, F.lit(1), F.least(*ends) - 1)
+
+    return strip(let(c, cut))
 
 
 def code_of(c: Column) -> Column:
     """The first fenced block, or everything without one."""
-    return F.when(c.rlike(FENCE), strip(F.regexp_extract(c, FENCE, 1))).otherwise(strip(c))
+    return strip(let(c, lambda s: F.when(s.rlike(FENCE), F.regexp_extract(s, FENCE, 1)).otherwise(s)))
 
 
 def after_mode(c: Column, mode: str) -> Column:
     """The part of a completion that a stage keeps; empty ones are null. mode: S->C, C->I or I->R."""
     if mode not in ("S->C", "C->I", "I->R"):
         raise ValueError(f"unknown mode {mode}")
-    out = {"S->C": strip, "C->I": truncated, "I->R": code_of}[mode](c)
-    return F.when(c != "", F.nullif(out, F.lit("")))
+    return let({"S->C": strip, "C->I": truncated, "I->R": code_of}[mode](c), lambda out: F.when(out != "", out))
 
 
 def tagged_response(c: Column) -> Column:

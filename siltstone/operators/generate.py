@@ -42,24 +42,28 @@ def generated(rows: DataFrame, make: Callable[[], Generator], batch_size: int =
     return seeded.mapInPandas(run, schema)
 
 
-def stand_in(mode: str) -> Column:
+def stand_in(mode: str, prompt: Column, source: Column) -> Column:
     """What the stand-in answers: the prompt, then a line about the row's text; a fenced function for the last stage."""
-    source = F.col(prompts.columns(mode)[0])
+    digest = F.substring(F.md5(source.cast("binary")), 1, 8)
     answer = {
-        "S->C": F.concat(F.lit("Idea "), F.substring(F.md5(source.cast("binary")), 1, 8)),
+        "S->C": F.concat(F.lit("Idea "), digest),
         "C->I": F.concat(F.lit("Task for "), source, F.lit("\\nInstruction: no more")),
-        "I->R": F.concat(F.lit("Here:\n```python\ndef solve(x):\n    return '"), F.substring(F.md5(source.cast("binary")), 1, 8), F.lit("'\n```")),
+        "I->R": F.concat(F.lit("Here:\n```python\ndef solve(x):\n    return '"), digest, F.lit("'\n```")),
     }[mode]
-    return F.concat(F.col("prompt"), answer, F.lit(" \n"))
+    return F.concat(prompt, answer, F.lit(" \n"))
 
 
 def stage(rows: DataFrame, mode: str, make: Callable[[], Generator] | None = None, **options) -> DataFrame:
-    """One of the three stages: prompt, output, completion, and the mode's extraction as a new column; empty ones go."""
-    asked = prompts.prompted(rows, mode)
-    answered = asked.withColumn("output", stand_in(mode)) if make is None else generated(asked, make, **options)
-    name = prompts.columns(mode)[1]
-    out = answered.withColumn(name, text.after_mode(text.completion(F.col("prompt"), F.col("output")), mode))
-    return out.filter(F.col(name).isNotNull()).drop("prompt", "output")
+    """One of the three stages: prompt, output, completion, and the mode's extraction as a new column; empty ones go.
+    Without a model the stand-in answers, and the stage is one expression that names its source once."""
+    source, name = prompts.columns(mode)
+    if make is None:
+        told = lambda s: text.let(prompts.plain(mode, source=s), lambda p: text.after_mode(text.completion(p, stand_in(mode, p, s)), mode))
+        out = rows.withColumn(name, text.let(F.col(source), told))
+    else:
+        answered = generated(prompts.prompted(rows, mode), make, **options)
+        out = answered.withColumn(name, text.after_mode(text.completion(F.col("prompt"), F.col("output")), mode)).drop("prompt", "output")
+    return out.filter(F.col(name).isNotNull())
 
 
 def chain(seeds: DataFrame, make: Callable[[], Generator] | None = None) -> DataFrame:

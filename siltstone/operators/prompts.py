@@ -37,9 +37,9 @@ def frame(mode: str, examples: bool = True) -> tuple[str, str]:
     return f"{shots}{TASKS[mode]}\n\n{LABELS[source]}:\n", f"\n\n{LABELS[target]}:\n"
 
 
-def plain(mode: str, examples: bool = True) -> Column:
+def plain(mode: str, examples: bool = True, source: Column | None = None) -> Column:
     before, after = frame(mode, examples)
-    return F.concat(F.lit(before), F.col(columns(mode)[0]), F.lit(after))
+    return F.concat(F.lit(before), F.col(columns(mode)[0]) if source is None else source, F.lit(after))
 
 
 def chat(mode: str, examples: bool = True) -> Column:
