@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def table_or_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or JSON lines if it is none."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except (AnalysisException, Py4JJavaError):  # a file of another kind fails when its footer is read
         return json_lines(spark, path, schema).drop(FILE)
 
 
