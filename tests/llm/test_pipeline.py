@@ -18,7 +18,8 @@ def test_pipeline(spark):
     scores = {r["doc_id"]: r["score"] for r in quality.score(docs, queries.quality_model(docs, spark, SF)).collect()}
     keep = {d: t for d, t in rows.items() if scores[d] >= 0.5}
     assert 0.5 * len(rows) < len(keep) < len(rows)
-    keep = {d: t for d, t in keep.items() if f"{d}" in {c for i, _, c in components(list(keep.items()), 5, 80) if i == c}}
+    heads = {c for i, _, c in components(list(keep.items()), 5, 80) if i == c}
+    keep = {d: t for d, t in keep.items() if f"{d}" in heads}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {h[0] for h in hits(list(keep.items()), items, 10) if h[-1]}
     assert bad
