@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 4096
-BATCH = 1024
+BATCH = 512
 SINGLE = 512
 SCALE_BITS = 12
 SCALE = 1 << SCALE_BITS

@@ -25,7 +25,7 @@ from siltstone.llm.common import byte_slices, fresh, write_file, written
 from siltstone.llm.encode import encoder
 
 MAGIC = b"SILTTOK1"
-FILE_IDS = 4 << 20
+FILE_IDS = 2 << 20
 SLICE = 1 << 20
 MANIFEST = "part int, number int, name string, docs long, ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
