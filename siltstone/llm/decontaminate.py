@@ -274,7 +274,12 @@ def digest(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The rows of documents without a hit, with all their columns. Rows that share a hit row's id and text go with it."""
-    marked = documents.select(F.col("doc_id"), "text")
+    """The rows of documents without a hit, with all their columns.
+
+    Words, and so hits, depend on the text alone: the index has a hash of each text in place of an id, and the rows whose
+    text has the hash of a hit go, whatever their ids. Null and repeated ids do not matter.
+    """
+    text_hash = F.xxhash64("text")
+    marked = documents.select(text_hash.alias("doc_id"), "text")
     hit = written(search(build(marked), benchmark, n).filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
-    return documents.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    return documents.join(hit, text_hash == F.col("__hit"), "left_anti")

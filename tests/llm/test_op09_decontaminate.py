@@ -66,6 +66,17 @@ def test_random_and_edge_cases(spark, block, monkeypatch):
     assert decontaminate.clean(df, bench, 3).columns == df.columns
 
 
+def test_clean_decides_by_text(spark):
+    """A hit takes no other text with it: neither one with a null id too, nor one under the same id."""
+    rows = [(None, "x a b c", 1), (None, "clean one", 2), (None, None, 3), (None, "clean two", 4), (7, "a b c y", 5), (7, "other words", 6), (7, "a b c y", 7), (8, "a b c y", 8), (9, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __h int")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert sorted(r["__h"] for r in decontaminate.clean(df, bench, 3).collect()) == [2, 3, 4, 6, 9]
+    # a third of the rows have the null key; one of them is hit
+    hot = spark.range(600).selectExpr("if(id % 3 = 0, null, id) doc_id", "if(id = 0, 'a b c', concat('word', id)) text")
+    assert decontaminate.clean(hot, bench, 3).count() == 599
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
