@@ -197,7 +197,7 @@ def humanize_size(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("id"), text.humanized((k * k * k).cast("double")).alias("size"))
 
 
-VALUE = "CASE doc_id % 5 WHEN 0 THEN CAST(doc_id AS STRING) WHEN 1 THEN CAST(doc_id AS STRING) || '.5' WHEN 2 THEN '-' || CAST(doc_id AS STRING) WHEN 3 THEN substr(text, 1, 5) ELSE '1e5' END"
+VALUE = "CASE doc_id % 5 WHEN 0 THEN CAST(doc_id AS STRING) WHEN 1 THEN CAST(doc_id AS STRING) || '.5' WHEN 2 THEN '-' || CAST(doc_id AS STRING) WHEN 3 THEN text ELSE '1e5' END"
 
 
 @query(f"SELECT id, CASE WHEN regexp_full_match(v, '[0-9]+') THEN 'int' WHEN regexp_full_match(v, '[0-9]+\\.[0-9]*|\\.[0-9]+') THEN 'float' ELSE 'string' END AS kind FROM (SELECT doc_id AS id, {VALUE} AS v FROM documents)")
