@@ -31,7 +31,6 @@ GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 NAME = "urn:siltstone:page:"
-MOST_HEADER = 1 << 16
 STEP = 1 << 16
 MANIFEST = "name string, records long"
 ROWS = "file string, offset long, length long, kind string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, reason string"
@@ -78,27 +77,27 @@ def page_number(value: str | None) -> int | None:
     return int(m[1]) if m[1] else None
 
 
-def parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
-    """The record that starts at a place, and where it ends."""
-    head = bytes(data[at : at + MOST_HEADER])
-    if not re.match(rb"WARC/1\.[01]\r\n", head):
+def parse(data: bytes, at: int) -> tuple[dict, int]:
+    """The record that starts at a place, and where it ends. Headers of any length are read, up to a line that is none."""
+    if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
         raise Bad("version line")
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        raise Bad("headers")
-    fields = {}
-    for line in head[:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    fields, first = {}, at + 10
+    while True:
+        end = data.find(b"\r\n", first)
+        if end == first:
+            break
+        name, colon, value = data[first : max(end, first)].partition(b":")
         if not colon:
             raise Bad("headers")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        first = end + 2
+    first += 2
     if not re.fullmatch(r"\d{1,15}", fields.get("content-length", "")):
         raise Bad("length")
-    first = at + end + 4
     last = first + int(fields["content-length"])
-    if bytes(data[last : last + 4]) != b"\r\n\r\n":
+    if data[last : last + 4] != b"\r\n\r\n":
         raise Bad("length")
-    block = bytes(data[first:last])
+    block = data[first:last]
     if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{sha1(block)}":
         raise Bad("block digest")
     out = {"record_type": fields.get("warc-type"), "url": fields.get("warc-target-uri"), "page_id": None, "payload": None, "payload_bytes": None, "payload_digest": None, "refers_to": None}
@@ -130,7 +129,7 @@ def inflate(data: memoryview, at: int) -> tuple[bytes, int]:
     return b"".join(plain), min(at, len(data)) - len(d.unused_data)
 
 
-def unit(data: memoryview, at: int) -> tuple[list[dict], int]:
+def unit(data: memoryview, whole: bytes, at: int) -> tuple[list[dict], int]:
     """The records of the member, or the plain record, at a place, and where it ends."""
     if data[at : at + 3] == GZIP:
         plain, end = inflate(data, at)
@@ -141,7 +140,7 @@ def unit(data: memoryview, at: int) -> tuple[list[dict], int]:
         if not found:
             raise Bad("empty member")
         return found, end
-    one, end = parse(data, at)
+    one, end = parse(whole, at)
     return [one], end
 
 
@@ -152,7 +151,7 @@ def salvage(data: bytes | memoryview) -> Iterator[dict]:
     at, lost, why = 0, None, None
     while at < len(whole):
         try:
-            found, end = unit(data, at)
+            found, end = unit(data, whole, at)
         except Bad as e:
             if lost is None:
                 lost, why = at, str(e)
@@ -204,7 +203,7 @@ def write_batches(folder: str, file_bytes: int):
                 if not parts:
                     parts.append(member(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:siltstone:file>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 21\r\n\r\nsoftware: siltstone\r\n\r\n\r\n"))
                 parts.append(member(record(page_id, url, payload, refers_to, revisit)))
-                held += len(payload) + 512
+                held += len(payload) + len(url or "") + 512
                 records += 1
                 if held >= file_bytes:
                     yield flush()
@@ -231,7 +230,7 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, held = [], 0
             for one in salvage(body.as_buffer()):
                 rows.append(one | {"file": name})
-                held += len(one.get("payload") or b"") + 256
+                held += len(one.get("payload") or b"") + len(one.get("url") or "") + 256
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_pylist(rows, schema=ROW_SCHEMA)
                     rows, held = [], 0

@@ -79,3 +79,21 @@ def test_gap_has_place_and_reason():
     kinds = [(r["kind"], r.get("reason")) for r in warc.salvage(data)]
     assert kinds == [("record", None), ("gap", "version line"), ("record", None), ("gap", "length")]
     assert list(warc.salvage(b"")) == []
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_long_headers_are_read(packed):
+    url = "http://h/" + "é" * 200_000
+    units = [warc.record(1, url, b"x"), warc.record(2, "u", b"x", 1, True), warc.record(3, url[:-1], b"y")]
+    rows = list(warc.salvage(b"".join(map(warc.member, units) if packed else units)))
+    assert [(r["kind"], r["page_id"], r["url"]) for r in rows] == [("record", 1, url), ("record", 2, "u"), ("record", 3, url[:-1])]
+    # headers with a line that is none are a gap, and what follows is found
+    rows = list(warc.salvage(units[0][:150_000] + b"\r\njunk\r\n" + units[1]))
+    assert [(r["kind"], r.get("page_id")) for r in rows] == [("gap", None), ("record", 2)]
+
+
+def test_long_urls_round_trip(spark):
+    url = "http://h/" + "a" * 200_000
+    df = spark.createDataFrame([(1, url, "x"), (2, "u", "x"), (3, url + "b", "x"), (4, url, "y")], "page_id long, url string, html string")
+    rows = warc.round_trip(df).filter("kind = 'gap' or record_type <> 'warcinfo'").collect()
+    assert sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in rows) == [(1, url, "revisit", 3), (2, "u", "revisit", 3), (3, url + "b", "response", None), (4, url, "response", None)]
