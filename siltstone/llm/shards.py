@@ -104,7 +104,12 @@ def shard_documents(documents: DataFrame, n_shards: int = 16, seed: int = 17) ->
 
 
 def write_shards(df: DataFrame, id_col: str, path: str, n_shards: int = 16, seed: int = 17) -> None:
-    """Writes whole rows as Parquet folders shard=k, each sorted by slot. Ids must be unique and not null."""
-    placed = assign(df.select(F.col(id_col).alias("__id")), n_shards, seed).withColumnsRenamed({"shard": "__shard", "slot": "__slot"})
-    whole = df.join(placed, F.col(id_col) == F.col("__id")).drop("__id").withColumnsRenamed({"__shard": "shard", "__slot": "slot"})
-    whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """Writes whole rows as Parquet folders shard=k, each sorted by slot.
+
+    The rows are written once with their place, and shards are joined by it, so null and repeated ids are ordinary
+    rows; id_col is not read.
+    """
+    whole = written(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("__place")), "shard-whole")
+    placed = assign(whole.select("__place"), n_shards, seed)
+    rows = whole.join(placed, "__place").select("row.*", "shard", "slot")
+    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)

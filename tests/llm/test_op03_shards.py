@@ -68,3 +68,11 @@ def test_write_shards(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 4
     assert back.drop("shard", "slot").exceptAll(df).count() == 0
+
+
+def test_write_shards_keeps_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "a"), (None, "b"), (1, "c"), (1, "c"), (1, "d"), (2, None)]
+    shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in back) == Counter(rows)
+    check(back, 4, 6)
