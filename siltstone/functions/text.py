@@ -18,12 +18,14 @@ FORBIDDEN_IMPORTS = ("os", "sys", "subprocess", "pathlib", "shutil", "tempfile",
 REMOVED_IMPORTS = ("os", "sys", "subprocess", "importlib", "socket", "shutil", "pathlib", "pickle", "requests")
 TERMINATORS = ("\\nDescription:", "\\nInstruction:", "\\n```", "\\nBelow is a description:")
 REMOVED_NOTE = "# Import removed for security: "
-# End of fixed values.
-
-EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 IMPORT = r"(?mdU)^\s*(?:from|import)\s+([a-zA-Z0-9_.]+)"
 SIGNATURE = r"(?dU)def\s+[a-zA-Z_][a-zA-Z0-9_]*\s*\((.*?)\)"
 FENCE = r"(?s)```(?:python)?(.*?)```"
+IMPORT_LINE = r"(?dU)(^|\n)(\s*)import\s+{name}.*?($|\n)"
+FROM_LINE = r"(?dU)(^|\n)(\s*)from\s+{name}\s+import.*?($|\n)"
+# End of fixed values.
+
+EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 
 
 def let(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -103,8 +105,8 @@ def tagged_response(c: Column) -> Column:
 def without_imports(c: Column) -> Column:
     """Import lines of the named modules (as prefixes) turned to comments."""
     for name in REMOVED_IMPORTS:
-        c = F.regexp_replace(c, rf"(?dU)(^|\n)(\s*)import\s+{name}.*?($|\n)", f"$1$2{REMOVED_NOTE}{name}$3")
-        c = F.regexp_replace(c, rf"(?dU)(^|\n)(\s*)from\s+{name}\s+import.*?($|\n)", f"$1$2{REMOVED_NOTE}{name}$3")
+        for line in (IMPORT_LINE, FROM_LINE):
+            c = F.regexp_replace(c, line.replace("{name}", name), f"$1$2{REMOVED_NOTE}{name}$3")
     return c
 
 

@@ -17,6 +17,16 @@ def over(function, returns: DataType):
     return run
 
 
+def black_text(source: str | None) -> str | None:
+    """Formatted by black where it is installed; the text as it is if not, or if that fails."""
+    try:
+        import black
+
+        return black.format_str(source, mode=black.Mode())
+    except Exception:  # black's own errors are many; the original is always good enough
+        return source
+
+
 functions = over(syntax.functions, ArrayType(StringType()))
 main_name = over(syntax.main_name, StringType())
 complexity = over(syntax.complexity, IntegerType())
@@ -25,4 +35,5 @@ docstring = over(syntax.docstring, StringType())
 return_type = over(syntax.return_type, StringType())
 parameters = over(syntax.parameters, ArrayType(StringType()))
 returns = over(syntax.returns, BooleanType())
+formatted = over(black_text, StringType())
 annotation_marks = over(syntax.annotation_marks, BooleanType())

@@ -58,4 +58,4 @@ def prompted(rows: DataFrame, mode: str, examples: bool = True, chat_format: boo
 
 
 def inference(instruction: Column) -> Column:
-    return F.concat(F.lit("<instruction>\n"), instruction, F.lit("\n</instruction>\n<response>\n"))
+    return F.concat(F.lit("<instruction>\n"), instruction, F.lit("\n</instruction>\n<response>"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import signal
 import subprocess
@@ -20,32 +21,38 @@ from siltstone.operators.seeds import rate
 
 TIMEOUT = 5.0
 FLAG = "execution_valid"
+OUTPUT = 1 << 20
+# Fixed values.
+NO_CODE = "No code provided"
+TIMED_OUT = "Execution timed out after"
+# End of fixed values.
 
 
 def execute(script: str, timeout: float = TIMEOUT, memory_mb: int | None = None) -> tuple[bool, str, float]:
-    """Whether a child interpreter ends well, its output (errors if not), and the seconds it took. Its own folder, no
-    environment, killed with its children after the timeout."""
-
-    def limit() -> None:
-        import resource
-
-        if memory_mb:
-            resource.setrlimit(resource.RLIMIT_AS, (memory_mb << 20, memory_mb << 20))
-
+    """Whether a child interpreter ends well, its output (errors if not; OUTPUT bytes at most), and the seconds it took. Its own
+    folder, no environment, killed with its children after the timeout. The child sets its own memory limit, as nothing but
+    an exec is safe between fork and exec in a process with threads."""
+    limit = f"import resource; resource.setrlimit(resource.RLIMIT_AS, ({memory_mb << 20},) * 2); " if memory_mb else ""
     began = time.time()
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "run.py")
         with open(path, "w", encoding="utf-8", errors="replace") as f:
             f.write(script)
-        child = subprocess.Popen([sys.executable, "-I", path], cwd=folder, env={}, stdout=subprocess.PIPE, stderr=subprocess.PIPE, stdin=subprocess.DEVNULL, start_new_session=True, preexec_fn=limit)
-        try:
-            out, err = child.communicate(timeout=timeout)
-        except subprocess.TimeoutExpired:
-            os.killpg(child.pid, signal.SIGKILL)
-            child.communicate()
-            return False, f"Execution timed out after {timeout:g} seconds", time.time() - began
-    good = child.returncode == 0
-    return good, (out if good else err).decode("utf-8", "replace"), time.time() - began
+        command = [sys.executable, "-I", "-c", limit + "import runpy; runpy.run_path('run.py', run_name='__main__')"] if limit else [sys.executable, "-I", path]
+        with open(os.path.join(folder, "out"), "w+b") as out, open(os.path.join(folder, "err"), "w+b") as err:
+            child = subprocess.Popen(command, cwd=folder, env={}, stdout=out, stderr=err, stdin=subprocess.DEVNULL, start_new_session=True)
+            try:
+                child.wait(timeout)
+            except subprocess.TimeoutExpired:
+                return False, f"{TIMED_OUT} {timeout:g} seconds", time.time() - began
+            finally:
+                with contextlib.suppress(ProcessLookupError):
+                    os.killpg(child.pid, signal.SIGKILL)
+                child.wait()
+            good = child.returncode == 0
+            said = out if good else err
+            said.seek(0)
+            return good, said.read(OUTPUT).decode("utf-8", "replace"), time.time() - began
 
 
 ADDED = "execution_valid boolean, execution_output string, execution_time double, complexity int, has_type_annotations boolean"
@@ -61,7 +68,7 @@ def validated(rows: DataFrame, timeout: float = TIMEOUT, memory_mb: int | None =
 
     def measure(code: str | None, script: str | None) -> tuple:
         if code is None:
-            return False, "No code provided", None, None, None
+            return False, NO_CODE, None, None, None
         return *execute(script, timeout, memory_mb), syntax.complexity(code), syntax.annotated(code)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

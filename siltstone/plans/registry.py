@@ -109,9 +109,33 @@ def seed_numbering(spark, sf_dir):
     return seed_rows(exact_dedup_docs(spark, sf_dir))
 
 
-def prompt_sql(mode: str) -> str:
-    before, after = (x.replace("'", "''") for x in prompts.frame(mode))
-    return f"SELECT id, md5('{before}' || content || '{after}') AS prompt_md5 FROM code"
+#: What the prompts say, written out: before the examples' end and after it, and what stands behind the text.
+PROMPTS = {
+    "S->C": (
+        "\n\nFunction:\ndef area(r):\n    return 3.14159 * r * r\n\nDescription:\nComputes a circle's area from its radius.\n\nFunction:\ndef total(xs):\n    return sum(xs)\n\nDescription:\nAdds up the numbers of a list.\n\n",
+        "Say in a few sentences what the function does and which ideas it uses.\n\nFunction:\n",
+        "\n\nDescription:\n",
+    ),
+    "C->I": (
+        "\n\nDescription:\nComputes a circle's area from its radius.\n\nInstruction:\nWrite a function that returns the area of a circle.\n\nDescription:\nAdds up the numbers of a list.\n\nInstruction:\nWrite a function that sums a list of numbers.\n\n",
+        "Write a programming task whose solution uses what the description says.\n\nDescription:\n",
+        "\n\nInstruction:\n",
+    ),
+    "I->R": (
+        "\n\nInstruction:\nWrite a function that returns the area of a circle.\n\nResponse:\n```python\ndef area(r):\n    return 3.14159 * r * r\n```\n\nInstruction:\nWrite a function that sums a list of numbers.\n\nResponse:\n```python\ndef total(xs):\n    return sum(xs)\n```\n\n",
+        "Solve the task with one Python function in a fenced block.\n\nInstruction:\n",
+        "\n\nResponse:\n",
+    ),
+}
+
+
+def literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def prompt_sql(mode: str, examples: bool = True) -> str:
+    shots, before, after = PROMPTS[mode]
+    return f"SELECT id, md5({literal((shots if examples else '') + before)} || content || {literal(after)}) AS prompt_md5 FROM code"
 
 
 def prompt_query(mode: str, name: str) -> None:
@@ -127,10 +151,17 @@ for _mode, _name in (("S->C", "prompt_s2c"), ("C->I", "prompt_c2i"), ("I->R", "p
     prompt_query(_mode, _name)
 
 
-@query("SELECT id, 6 AS messages, length(content) AS last_chars FROM code")
-def prompt_chat_sizes(spark, sf_dir):
+CHAT = (
+    "system: You read Python functions and describe them.\nuser: def area(r):\n    return 3.14159 * r * r\nassistant: Computes a circle's area from its radius.\n"
+    "user: def total(xs):\n    return sum(xs)\nassistant: Adds up the numbers of a list.\nuser: "
+)
+
+
+@query(f"SELECT id, md5({literal(CHAT)} || content) AS messages_md5 FROM code")
+def prompt_chat(spark, sf_dir):
     rows = prompts.prompted(code(spark, sf_dir).withColumnRenamed("content", "seed"), "S->C", chat_format=True)
-    return rows.select("id", F.size("prompt").alias("messages"), F.length(F.element_at("prompt", -1)["content"]).alias("last_chars"))
+    told = F.array_join(F.transform("prompt", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return rows.select("id", F.md5(told.cast("binary")).alias("messages_md5"))
 
 
 @query(f"SELECT id, {stripped(REST)} AS completion FROM completions")
@@ -222,10 +253,10 @@ def extract_per_file_counts(spark, sf_dir):
     return code(spark, sf_dir).select("id", F.size(udfs.functions("content")).alias("functions"))
 
 
-@query("""SELECT id, replace(rtrim(regexp_replace(substr(content, instr(content, CASE id % 9 WHEN 8 THEN 'async def' ELSE 'def f' END)), '(1/0|def \\(:)\\n$', ''), chr(10)), chr(13), '') AS content
+@query("""SELECT id, rtrim(regexp_replace(substr(content, instr(content, CASE id % 9 WHEN 8 THEN 'async def' ELSE 'def f' END)), '(1/0|def \\(:)\\n$', ''), chr(10)) AS content
   FROM code WHERE id % 4 < 2""")
 def extract_functions(spark, sf_dir):
-    return code(spark, sf_dir).select("id", F.explode(udfs.functions("content")).alias("content")).withColumn("content", F.replace("content", F.lit("\r"), F.lit("")))
+    return code(spark, sf_dir).select("id", F.explode(udfs.functions("content")).alias("content"))
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 13 <> 1 AND doc_id % 9 <> 8 THEN 'f' || CAST(doc_id AS STRING) END AS function_name FROM documents")
@@ -289,6 +320,8 @@ def final_dataset(spark, sf_dir):
     return dataset.final(d.select(F.col("lang").alias("instruction"), F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("response"), flag.alias("execution_valid")))
 
 
+ANSWERS = """SELECT id, concept, instruction, 'def solve(x):' || chr(10) || '    return ''' || substr(md5(instruction), 1, 8) || '''' AS response
+  FROM (SELECT *, 'Task for ' || concept AS instruction FROM (SELECT id, 'Idea ' || substr(md5(content), 1, 8) AS concept FROM code))"""
 CHAIN = """SELECT id, seed, concept, instruction, 'def solve(x):' || chr(10) || '    return ''' || substr(md5(instruction), 1, 8) || '''' AS response
   FROM (SELECT *, 'Task for ' || concept AS instruction FROM (SELECT id, seed, 'Idea ' || substr(md5(seed), 1, 8) AS concept FROM (SELECT id, content AS seed FROM code)))"""
 
@@ -298,12 +331,6 @@ def three_stage_chain(spark, sf_dir):
     return generate.chain(code(spark, sf_dir).select("id", F.col("content").alias("seed")))
 
 
-@query(f"SELECT count(*) AS functions, count(*) FILTER ({GOOD}) AS kept, count(DISTINCT id % 3) AS files FROM code")
-def pipeline_report_metrics(spark, sf_dir):
-    rows = code(spark, sf_dir)
-    return rows.agg(F.count("*").alias("functions"), F.count_if(text.good_seed(F.col("content"))).alias("kept"), F.count_distinct(F.col("id") % 3).alias("files"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From files to a validated dataset, with the stand-in generator; nothing is kept between the stages."""
     found = seeds.filtered(seeds.distinct(seeds.extracted(code(spark, sf_dir))))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import gzip
+import logging
 import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
+
+log = logging.getLogger(__name__)
 
 
 def plain(data: bytes | None) -> bytes | None:
@@ -42,6 +46,36 @@ def blob_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("blob_id"), "content")
 
 
+#: Clients that this worker has made, by the function that makes them.
+_clients: dict = {}
+
+
+def fetched_by(rows: DataFrame, make: Callable[[], Callable[[str], bytes]]) -> DataFrame:
+    """Rows (blob_id, src_encoding, ...) with the text that a client returns as `content`. A worker makes one client and keeps
+    it for later batches and tasks; a blob that can't be fetched is logged and its row goes."""
+    schema = StructType([*(f for f in rows.schema if f.name != "content"), StructField("content", StringType())])
+    names = [f.name for f in schema]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = f"{make.__module__}.{make.__qualname__}"
+        for frame in frames:
+            if key not in _clients:
+                _clients[key] = make()
+            found = [one(_clients[key], b, c) for b, c in zip(frame["blob_id"], frame["src_encoding"], strict=True)]
+            frame = frame.assign(content=pd.Series(found, index=frame.index, dtype=object))
+            yield frame[frame["content"].notna()][names]
+
+    return rows.mapInPandas(run, schema)
+
+
+def one(client: Callable[[str], bytes], blob_id: str, charset: str | None) -> str | None:
+    try:
+        return text(client(blob_id), charset)
+    except Exception as e:  # whatever a store raises: the job goes on without the blob
+        log.warning("blob %s: %s", blob_id, e)
+        return None
+
+
 def fetched(rows: DataFrame, blobs: DataFrame) -> DataFrame:
     """Rows (blob_id, src_encoding, ...) with their text as `content`; rows without a blob go."""
     joined = rows.join(blobs.withColumnRenamed("content", "__bytes"), "blob_id")
