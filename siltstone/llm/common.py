@@ -1,4 +1,4 @@
-"""What several operators share: the shared folder, written tables, clash-free column names, hashes."""
+"""What several operators share: intermediate tables, files of tasks, hashes, slices of batches."""
 
 from __future__ import annotations
 
@@ -7,24 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints/siltstone"
-    return folder.rstrip("/")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: this cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = path or fresh(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from siltstone.session import fresh, written
 
 
 def delete(spark: SparkSession, *paths: str) -> None:
@@ -35,6 +18,33 @@ def delete(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Intermediate tables of one run in a folder of their own; they are removed as soon as nothing reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, fresh(spark, name), {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df and reads it back; a name may be used again."""
+        path = f"{self.folder}/{name}-{len(self.paths)}"
+        out = written(df, name, path)
+        self.paths[path] = out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        self._remove(lambda t: any(t is x for x in tables))
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Removes all others."""
+        self._remove(lambda t: t is not None and not any(t is x for x in tables))
+
+    def _remove(self, which) -> None:
+        for path, t in self.paths.items():
+            if t is not None and which(t):
+                delete(self.spark, path)
+                self.paths[path] = None
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers (shift-multiply rounds)."""
     x = x.astype(np.uint64, copy=True)

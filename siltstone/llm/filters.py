@@ -1,12 +1,33 @@
-"""A bitmap of fixed size that tells rows that can't be among some chosen ones from those that can."""
+"""A bitmap of bounded size that tells rows that can't be among some chosen ones from those that can."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 32768
 BUCKETS = 512
+MOST_BITS = 1 << 30
+
+
+def buckets_for(count: int) -> int:
+    """Buckets with 16 to 32 bits for each of so many hashes, 2 MB to 128 MB in all."""
+    return 1 << min((MOST_BITS // BITS).bit_length() - 1, max(9, (16 * count // BITS).bit_length()))
+
+
+def bits_of(hashes: DataFrame, buckets: int) -> np.ndarray:
+    """The bitmap of a single column of hashes as bytes, for a broadcast: of a fixed size, read partition by partition."""
+    out = np.zeros(buckets * BITS // 8, np.uint8)
+    for r in bitmaps(hashes, buckets).toLocalIterator():
+        out[r["__bucket"] * BITS // 8 : (r["__bucket"] + 1) * BITS // 8] = np.frombuffer(r["__map"], np.uint8)
+    return out
+
+
+def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each int64 hash may be among those of the bitmap."""
+    bit = hashes % (len(bits) * 8)  # of the sign of the divisor, as pmod
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def bitmaps(hashes: DataFrame, buckets: int = BUCKETS) -> DataFrame:

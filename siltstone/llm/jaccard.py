@@ -5,22 +5,26 @@ in one band or in neighbouring ones. For each pair of bands the hash space is cu
 number of elements by which two linked sets can differ, so linked sets agree in some part entirely: what they
 hold there is a key. No link can be lost, and unlinked sets seldom share a key.
 
-1. Keys of every node are exchanged; a window keeps the keys that two or more nodes share and names the least
-   node of each as its leader. Each node has a bitmap of its hashed elements, two bits or more for each element.
-2. Leaders are held against their members: bit counts bound the overlap from above, and only pairs that may be linked
-   have their texts fetched and their sorted arrays intersected (salted: a leader's members are spread over tasks).
+1. A partial aggregate finds the keys that two or more nodes share and names the least node of each as its leader; they
+   set bits of a bitmap, and only nodes of such keys are exchanged. Each node has a bitmap of the parities of its hashed
+   elements: two bitmaps differ in at most as many bits as the sets differ in elements, so bit counts bound the overlap
+   from above.
+2. Leaders are held against their members: sizes, then bitmaps, and only pairs that may be linked have their texts
+   fetched and their sorted arrays intersected (salted: a leader's members are spread over tasks).
 3. Keys with three or more nodes that are still in two or more components are compared in tiles: nodes in order
-   of size, blocks of a fixed number of them, pairs of blocks whose sizes are compatible. Bitmaps come first and keep
-   the nodes with a possible partner in another component. Kept nodes that share a key form clusters, so that a node's
-   text is fetched once however many keys it has; clusters are cut in tiles the same way, and arrays are intersected,
-   passing over pairs that are connected by now.
+   of size, blocks of bounded weight, pairs of blocks whose sizes are compatible and that hold several components.
+   Bitmaps come first and keep the nodes with a possible partner in another component. Kept nodes that share a key form
+   clusters, so that a node's text is fetched once however many keys it has; clusters are cut in tiles the same way, and
+   arrays are intersected, passing over pairs that are connected by now.
 
-Components come from repeated joins (least label, then jumps to the label's label). Nothing of the corpus goes to the
-driver or is broadcast but counts and a bitmap of fixed size.
+Links are contracted in each task (a forest has fewer links than nodes) before components are found by repeated joins
+(least label, then jumps to the label's label). Nothing of the corpus goes to the driver or is broadcast but counts and
+a bitmap of bounded size (beyond its 2^30 bits more nodes are exchanged, with the same result).
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and are their own
 component; repeated rows and repeated ids are rows of their own, and a component's id is the least doc_id that is
 not null in it, else null; an empty table gives an empty result; other columns of the input are not read.
+A node's name has 64 bits: sets of 10^9 distinct texts share one by chance with a probability of 3 %.
 """
 
 from __future__ import annotations
@@ -32,13 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import mix64, written
-from siltstone.llm.filters import flagged
-from siltstone.llm.words import shingle_sets
+from siltstone.llm.common import Scratch, mix64
+from siltstone.llm.filters import among, bits_of, buckets_for, flagged
+from siltstone.llm.words import shingle_sets, utf8
 
+#: The weight of a tile: nodes, of which one of HEAVY elements or more weighs as many as it has HEAVY elements.
 TILE = 512
+HEAVY = 4096
 SALT_ROWS = 2000
 KEY_BITS = np.uint64(52)
+#: Links that one task contracts, and rows whose pairs are formed at once.
+FOREST = 500_000
+ROWS = 20_000
 
 
 def bands(percent: int, most: int) -> list[int]:
@@ -102,30 +111,40 @@ def narrow_batches(k: int):
     return run
 
 
-def key_batches(k: int, percent: int):
+def key_batches(k: int, percent: int, bits=None):
+    """Each node's keys with its size; with a bitmap only the keys whose bit is set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, seen = Keys(percent), set()
         for b in batches:
-            out, nodes, held = [], [], 0
+            out, nodes, sizes, held = [], [], [], 0
             for s in shingle_sets(b.column(0), k):
                 node = node_of(s)
                 if not node or node in seen:
                     continue
                 seen.add(node)
-                out.append(keys.of(s))
+                own = keys.of(s)
+                if bits is not None:
+                    own = own[among(bits.value, own)]
+                out.append(own)
                 nodes.append(node)
-                held += len(out[-1])
+                sizes.append(len(s))
+                held += len(own)
                 if held > 200_000:
-                    yield packed_keys(out, nodes)
-                    out, nodes, held = [], [], 0
+                    yield packed_keys(out, nodes, sizes, bits is not None)
+                    out, nodes, sizes, held = [], [], [], 0
             if out:
-                yield packed_keys(out, nodes)
+                yield packed_keys(out, nodes, sizes, bits is not None)
 
     return run
 
 
-def packed_keys(out: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in out]))], names=["key", "node"])
+def packed_keys(out: list[np.ndarray], nodes: list[int], sizes: list[int], sized: bool) -> pa.RecordBatch:
+    times = [len(x) for x in out]
+    columns = {"key": np.concatenate(out), "node": np.repeat(np.array(nodes, np.int64), times)}
+    if sized:
+        columns["size"] = np.repeat(np.array(sizes, np.int64), times)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
 
 def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int):
@@ -133,23 +152,40 @@ def linked(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, per
 
 
 def sketch(items: np.ndarray) -> bytes:
-    """A bitmap of hashed elements, of a power of two bits: two for each element or more, 64 to 2^17."""
-    width = min(1 << 17, max(64, 1 << (2 * max(1, len(items)) - 1).bit_length()))
-    bits = np.zeros(width, np.uint8)
-    bits[(items & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def folded(bitmaps: list[bytes]) -> np.ndarray:
-    """Bitmaps of different widths as rows of the smallest width: the low bits of a hash are its place in any."""
-    least = min(map(len, bitmaps))
-    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, least // 8), axis=0) for b in bitmaps])
-
-
-def possible(bits: np.ndarray, n: int, others: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which others can be linked: each bit of one set that the other lacks stands for an element that it lacks."""
-    most = np.minimum(n - np.bitwise_count(bits & ~others).sum(axis=1, dtype=np.int64), sizes - np.bitwise_count(others & ~bits).sum(axis=1, dtype=np.int64))
-    return linked(np.minimum(most, np.minimum(n, sizes)), n, sizes, percent)
+    """The parities of hashed elements as a bitmap of a power of two bits: 64, or 0.7 to 1.4 for each element."""
+    width = max(64, 1 << (max(1, 7 * len(items) // 10) - 1).bit_length())
+    bits = np.bincount((items & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """A column of bitmaps; any can be folded to a smaller width, as the low bits of a hash are its place in each."""
+
+    def __init__(self, column: pa.Array):
+        body, offs = utf8(column)
+        self.data, self.first, self.words = np.ascontiguousarray(body).copy().view(np.uint64), offs[:-1] // 8, np.diff(offs) // 8
+
+    def rows(self, at: np.ndarray, words: int) -> np.ndarray:
+        out = np.empty((len(at), words), np.uint64)
+        own = self.words[at]
+        for w in np.unique(own).tolist():
+            i = np.flatnonzero(own == w)
+            wide = self.data[self.first[at[i]][:, None] + np.arange(w)]
+            out[i] = np.bitwise_xor.reduce(wide.reshape(len(i), w // words, words), axis=1)
+        return out
+
+
+def may_link(a: Sketches, i: np.ndarray, na: np.ndarray, b: Sketches, j: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can be linked: sets differ in as many elements as their bitmaps in bits, or more."""
+    words = np.minimum(a.words[i], b.words[j])
+    out = np.zeros(len(i), bool)
+    for w in np.unique(words).tolist():
+        same = np.flatnonzero(words == w)
+        for some in np.array_split(same, 1 + len(same) * w // (1 << 20)):
+            differ = np.bitwise_count(a.rows(i[some], w) ^ b.rows(j[some], w)).sum(axis=1, dtype=np.int64)
+            x, y = na[some], nb[some]
+            out[some] = linked(np.minimum((x + y - differ) // 2, np.minimum(x, y)), x, y, percent)
+    return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -192,15 +228,47 @@ def pair_batches(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = [b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)]
-            keep = 100 * np.minimum(*sizes) >= percent * np.maximum(*sizes)
-            for i in np.flatnonzero(keep).tolist():
-                bits = folded([b.column(4)[i].as_py(), b.column(5)[i].as_py()])
-                keep[i] = possible(bits[0], int(sizes[0][i]), bits[1:], sizes[1][i : i + 1], percent)[0]
+            every = np.arange(b.num_rows)
+            keep = may_link(Sketches(b.column(4)), every, sizes[0], Sketches(b.column(5)), every, sizes[1], percent)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["leader", "node"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+class Forest:
+    """Union-find over nodes: the links that connect what all links together connect."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        up, path = self.up, []
+        while (y := up.setdefault(x, x)) != x:
+            path.append(x)
+            x = y
+        for p in path:
+            up[p] = x
+        return x
+
+    def link(self, a: int, b: int) -> None:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def batch(self) -> pa.RecordBatch:
+        nodes = list(self.up)
+        return pa.RecordBatch.from_arrays([pa.array([self.top(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
+
+
+def forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a task as links between each node and the least node that it is connected with here."""
+    forest = Forest()
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            forest.link(x, y)
+    yield forest.batch()
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Tables of the rows whose first columns agree; rows come sorted by these."""
     held: list[pa.RecordBatch] = []
@@ -225,34 +293,42 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def apart_pairs(comps: np.ndarray, side: np.ndarray, sizes: np.ndarray, i: int, percent: int) -> np.ndarray:
-    """Nodes after i that it must be compared with; side: 0 and 1 are compared with each other, 2 with all."""
-    rest = np.arange(i + 1, len(sizes))
-    rest = rest[(comps[rest] != comps[i]) & ((side[rest] != side[i]) | (side[i] == 2))]
-    return rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
-
-
+def chunks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows, some ROWS rows or one group at a time, and one past the last row of each row's group."""
+    held, ends, rows = [], [], 0
+    for t in groups(batches, keys):
+        held.append(t)
+        rows += t.num_rows
+        ends.append(rows)
+        if rows >= ROWS:
+            yield pa.concat_tables(held), np.repeat(ends, np.diff([0, *ends]))
+            held, ends, rows = [], [], 0
+    if held:
+        yield pa.concat_tables(held), np.repeat(ends, np.diff([0, *ends]))
 
 
 def sketch_tiles(percent: int):
-    """For each pair of tiles the nodes with a possible partner of another component (b), and the least of them (a)."""
+    """Links between the nodes of each pair of tiles that have a possible partner of another component, as a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, 3):
-            comps, side, sizes = (t.column(c).to_numpy() for c in ("comp", "side", "size"))
-            if (comps == comps[0]).all():
-                continue
-            bits = folded(t.column("sketch").to_pylist())
-            keep = np.zeros(len(sizes), bool)
-            for i in range(len(sizes) - 1):
-                rest = apart_pairs(comps, side, sizes, i, percent)
-                if len(rest):
-                    rest = rest[possible(bits[i], int(sizes[i]), bits[rest], sizes[rest], percent)]
-                    keep[rest] = True
-                    keep[i] |= len(rest) > 0
-            if keep.any():
-                nodes = t.column("node").to_numpy()[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), nodes.min())), pa.array(nodes)], names=["a", "b"])
+        forest = Forest()
+        for t, ends in chunks(batches, 3):
+            nodes, comps, side, sizes = (t.column(c).to_numpy() for c in ("node", "comp", "side", "size"))
+            bits, live, step = Sketches(t.column("sketch")), np.arange(len(nodes)), 1
+            while len(live):
+                # each row with the one so many places after it in its group
+                live = live[live + step < ends[live]]
+                j = live + step
+                # rows come by size: where one is too large, all that follow are
+                live = live[100 * sizes[live] >= percent * sizes[j]]
+                j = live + step
+                ask = (comps[live] != comps[j]) & ((side[live] != side[j]) | (side[live] == 2))
+                i, j = live[ask], j[ask]
+                near = may_link(bits, i, sizes[i], bits, j, sizes[j], percent)
+                for x, y in set(zip(nodes[i[near]].tolist(), nodes[j[near]].tolist(), strict=True)):
+                    forest.link(x, y)
+                step += 1
+        yield forest.batch()
 
     return run
 
@@ -260,12 +336,15 @@ def sketch_tiles(percent: int):
 def tile_links(sets: list[np.ndarray], comps: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Links between sets of different components until all that are linked are connected."""
     sizes, now = np.array([len(s) for s in sets]), comps.copy()
-    bits = folded([sketch(s) for s in sets])
+    bits = Sketches(pa.array([sketch(s) for s in sets], pa.binary()))
     for i in range(len(sets) - 1):
-        rest = apart_pairs(now, side, sizes, i, percent)
+        rest = np.arange(i + 1, len(sets))
+        rest = rest[(now[rest] != now[i]) & ((side[rest] != side[i]) | (side[i] == 2))]
+        rest = rest[100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])]
         if not len(rest):
             continue
-        for j in rest[possible(bits[i], int(sizes[i]), bits[rest], sizes[rest], percent)].tolist():
+        mine = np.full(len(rest), i)
+        for j in rest[may_link(bits, mine, sizes[mine], bits, rest, sizes[rest], percent)].tolist():
             if now[i] != now[j] and linked(overlap(sets[i], sets[j]), int(sizes[i]), int(sizes[j]), percent):
                 yield i, j
                 now[now == now[j]] = now[i]
@@ -281,10 +360,18 @@ def exact_tiles(k: int, percent: int):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and comp (the least node of its component) of every node that has a link; links: a, b."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and comp (the least node of its component) of every node that has a link; links: a written table of a, b.
+
+    Tasks of some FOREST links contract them first; one task that holds them all has the components already.
+    """
+    tasks = max(1, -(-links.count() // FOREST))
+    links = scratch.put(links.coalesce(tasks).mapInArrow(forest_batches, "a long, b long"), "forest")
+    if tasks == 1:
+        return links.select(F.col("b").alias("node"), F.col("a").alias("comp"))
+    links = links.filter("a <> b")
+    both = scratch.put(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("next")), "labels").select("node", F.col("next").alias("comp"))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("other"))
         least = labels.join(near, "node").select("node", "comp", F.least("comp", "other").alias("next"))
@@ -292,78 +379,108 @@ def components(links: DataFrame) -> DataFrame:
         # a label's own label, and the least label that any of its nodes has been offered
         hook = least.groupBy(F.col("comp").alias("next")).agg(F.min("next").alias("hooked"))
         new = least.join(jump, "next", "left").join(hook, "next", "left").select("node", "comp", F.least("next", "jumped", "hooked").alias("next"))
-        new = written(new, "labels")
+        new = scratch.put(new, "labels")
         if new.filter(F.col("next") != F.col("comp")).isEmpty():
             return labels
         labels = new.select("node", F.col("next").alias("comp"))
 
 
-def texts_of(documents: DataFrame, narrow: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def texts_of(documents: DataFrame, narrow: DataFrame, nodes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """node and text of one row for each of the given nodes."""
-    ids = narrow.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = written(ids.select("node", "doc_id", F.xxhash64("doc_id").alias("h")), "chosen")
-    near = flagged(documents.select("doc_id", "text"), F.xxhash64("doc_id"), ids.select("h")).filter("__maybe")
-    # repeated ids are told apart by computing the node again
-    rows = near.join(ids.drop("h"), near.doc_id.eqNullSafe(ids.doc_id)).select("node", "text")
-    return rows.mapInArrow(own_rows(k), "node long, text string").dropDuplicates(["node"])
+    text_hash = F.xxhash64("text")
+    ids = narrow.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"))
+    ids = scratch.put(ids.select("node", F.col("row.doc_id").alias("d"), F.col("row.h").alias("h")), "chosen")
+    near = flagged(documents.select("doc_id", "text"), text_hash, ids.select("h"), buckets_for(ids.count())).filter("__maybe")
+    # of repeated rows one, before any exchange; another text of the same hash makes another node
+    near = near.groupBy("doc_id", text_hash.alias("h")).agg(F.first("text").alias("text"))
+    rows = near.join(ids, near.doc_id.eqNullSafe(ids.d) & (near.h == ids.h)).select("node", "text")
+    return rows.mapInArrow(own_rows(k), "node long, text string")
 
 
-def links_and_components(documents: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def links_and_components(documents: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """narrow (doc_id, hash of the text, n, node) of all rows, and comp of each node that has a link."""
+    spark = documents.sparkSession
     documents = documents.select("doc_id", "text")
     hashed = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    narrow = written(hashed.mapInArrow(narrow_batches(k), "doc_id long, h long, n long, node long, sketch binary"), "jaccard-rows")
+    narrow = scratch.put(hashed.mapInArrow(narrow_batches(k), "doc_id long, h long, n long, node long, sketch binary"), "rows")
+
+    # keys that several nodes share, then the nodes that have them
     rows = documents.select("text").mapInArrow(key_batches(k, percent), "key long, node long")
-    by_key = Window.partitionBy("key")
-    shared = rows.withColumn("leader", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key)).filter("leader < last").select("key", "node", "leader").distinct()
-    shared = written(shared, "jaccard-keys")
-    nodes = narrow.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("size"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes, "jaccard-nodes")
-
-    # leaders against their members: bitmaps, then texts
-    star = shared.filter("node <> leader").select("leader", "node").distinct()
+    led = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("key", "leader")
+    led = scratch.put(led, "led")
+    bits = spark.sparkContext.broadcast(bits_of(led.select("key"), buckets_for(led.count())))
+    rows = documents.select("text").mapInArrow(key_batches(k, percent, bits), "key long, node long, size long")
+    shared = scratch.put(rows.distinct().join(led, "key"), "keys")
+    bits.unpersist()
+    nodes = narrow.groupBy("node").agg(F.first("n").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = scratch.put(nodes.join(shared.select("node").distinct(), "node", "left_semi"), "nodes")
+
+    # leaders against their members: sizes, bitmaps, then texts
+    star = shared.filter("node <> leader").select("leader", "node", "size").distinct()
     heads = nodes.select(F.col("node").alias("leader"), F.col("size").alias("lead_size"), F.col("sketch").alias("lead_sketch"))
-    star = star.join(nodes, "node").join(heads, "leader").select("leader", "node", "lead_size", "size", "lead_sketch", "sketch")
-    star = written(star.mapInArrow(pair_batches(percent), "leader long, node long"), "jaccard-pairs")
+    star = star.join(heads, "leader").filter(100 * F.least("size", "lead_size") >= percent * F.greatest("size", "lead_size"))
+    star = star.join(nodes.select("node", "sketch"), "node").select("leader", "node", "lead_size", "size", "lead_sketch", "sketch")
+    star = scratch.put(star.mapInArrow(pair_batches(percent), "leader long, node long"), "pairs")
     wide = star.groupBy("leader").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     members = star.join(wide, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "node")
     heads = wide.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("leader").alias("node"))
-    texts = texts_of(documents, narrow, star.select("node").union(star.select("leader")).distinct(), k)
+    texts = texts_of(documents, narrow, star.select("node").union(star.select("leader")).distinct(), k, scratch)
     pairs = members.unionByName(heads).join(texts, "node").select("leader", "salt", "member", "node", "text")
     pairs = pairs.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "member", "node")
-    links = written(pairs.mapInArrow(star_batches(k, percent), "a long, b long"), "jaccard-stars")
-    comps = components(links)
+    links = scratch.put(pairs.mapInArrow(star_batches(k, percent), "a long, b long"), "stars")
+    comps = components(links, scratch)
 
     # keys whose nodes are still apart, one of each set of nodes, in tiles
     put = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = put.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")).filter("lo < hi and n > 2")
-    apart = apart.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key")
-    sized = put.join(apart, "key", "left_semi").join(nodes.select("node", "size"), "node").select("key", "node", "comp", "size")
-    sized = written(sized, "jaccard-apart")
+    mark = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"mark{i}") for i in (0, 1)]
+    apart = put.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(weight()).alias("total"), *mark).filter("lo < hi and n > 2")
+    apart = apart.groupBy("n", "mark0", "mark1").agg(F.min(F.struct("key", "total")).alias("one")).select("one.*")
+    sized = scratch.put(put.join(apart, "key").select("key", "total", "node", "comp", "size"), "apart")
     order = ["key", "tile", "tile2"]
-    work = in_tiles(sized, percent).join(nodes.select("node", "sketch"), "node")
+    work = in_tiles(sized, percent, scratch).join(nodes.select("node", "sketch"), "node")
     work = work.select(*order, "node", "comp", "side", "size", "sketch").repartition(*order).sortWithinPartitions(*order, "size", "node")
-    near = written(work.mapInArrow(sketch_tiles(percent), "a long, b long").distinct(), "jaccard-tiles")
+    near = scratch.put(work.mapInArrow(sketch_tiles(percent), "a long, b long"), "near")
+    scratch.drop(shared, sized)
     if near.isEmpty():
         return narrow, comps
-    clusters = components(near).select("node", F.col("comp").alias("key"))
+    clusters = components(near, scratch).select("node", F.col("comp").alias("key"))
     clusters = clusters.join(nodes.select("node", "size"), "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), "size")
-    work = in_tiles(written(clusters, "jaccard-clusters"), percent).join(texts_of(documents, narrow, clusters.select("node"), k), "node")
+    clusters = scratch.put(clusters, "clusters")
+    totals = clusters.groupBy("key").agg(F.sum(weight()).alias("total"))
+    work = in_tiles(clusters.join(totals, "key"), percent, scratch).join(texts_of(documents, narrow, clusters.select("node"), k, scratch), "node")
     work = work.select(*order, "node", "comp", "side", "text").repartition(*order).sortWithinPartitions(*order, "node")
-    more = written(work.mapInArrow(exact_tiles(k, percent), "a long, b long"), "jaccard-more")
-    return narrow, comps if more.isEmpty() else components(links.unionByName(more))
+    more = scratch.put(work.mapInArrow(exact_tiles(k, percent), "a long, b long"), "more")
+    return narrow, comps if more.isEmpty() else components(scratch.put(links.unionByName(more), "all"), scratch)
+
 
+def weight():
+    return 1 + F.floor(F.col("size") / HEAVY)
 
-def in_tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """key, node, comp, size as pairs of tiles of a key's nodes by size: those whose sizes are compatible, each tile with itself too."""
-    ranked = rows.withColumn("tile", F.floor((F.row_number().over(Window.partitionBy("key").orderBy("size", "node")) - 1) / TILE).cast("int"))
-    ends = ranked.groupBy("key", "tile").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    other = ends.select("key", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"))
-    blocks = ends.join(other, "key").filter((F.col("tile2") >= F.col("tile")) & (100 * F.col("hi") >= percent * F.col("lo2"))).select("key", "tile", "tile2")
-    cols = ["key", "tile", "tile2", "node", "comp", "size"]
-    left = ranked.join(blocks, ["key", "tile"]).select(*cols, F.when(F.col("tile") == F.col("tile2"), 2).otherwise(0).alias("side"))
-    right = ranked.withColumnRenamed("tile", "tile2").join(blocks.filter("tile < tile2"), ["key", "tile2"]).select(*cols, F.lit(1).alias("side"))
-    return left.unionByName(right)
+
+def in_tiles(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """key, total (its nodes' weight), node, comp, size as pairs of tiles of a key's nodes by size: those whose sizes are
+    compatible and whose components are not all one, each tile with itself too.
+
+    A key of one tile is taken as it is. For others a node's place comes from the counts of its key's sizes and, among equal
+    sizes, from its hash, so that no task sorts the nodes of a key.
+    """
+    cols = ["key", "tile", "tile2", "node", "comp", "size", "side"]
+    zero = F.lit(0).cast("long")
+    small = rows.filter(F.col("total") <= TILE).withColumns({"tile": zero, "tile2": zero, "side": F.lit(2)}).select(*cols)
+    large = rows.filter(F.col("total") > TILE)
+    counts = large.groupBy("key", "size").agg(F.count("*").alias("n"), F.sum(weight()).alias("w"))
+    before = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0)))
+    place = F.col("before") + F.pmod(F.xxhash64("node"), F.col("n")) * weight()
+    ranked = large.join(counts, ["key", "size"]).withColumn("tile", F.floor(place / TILE).cast("long")).select("key", "node", "comp", "size", "tile")
+    ranked = scratch.put(ranked, "ranked")
+    ends = ranked.groupBy("key", "tile").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+    other = ends.select("key", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("first").alias("first2"), F.col("last").alias("last2"))
+    blocks = ends.join(other, "key").filter((F.col("tile2") >= F.col("tile")) & (100 * F.col("hi") >= percent * F.col("lo2")))
+    blocks = blocks.filter("least(first, first2) < greatest(last, last2)").select("key", "tile", "tile2")
+    left = ranked.join(blocks, ["key", "tile"]).withColumn("side", F.when(F.col("tile") == F.col("tile2"), 2).otherwise(0)).select(*cols)
+    right = ranked.withColumnRenamed("tile", "tile2").join(blocks.filter("tile < tile2"), ["key", "tile2"]).withColumn("side", F.lit(1)).select(*cols)
+    return small.unionByName(left).unionByName(right)
 
 
 def own_rows(k: int):
@@ -379,9 +496,13 @@ def own_rows(k: int):
 
 def join(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    narrow, comps = links_and_components(documents, k, percent)
-    rows = narrow.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    scratch = Scratch(documents.sparkSession, "jaccard")
+    narrow, comps = links_and_components(documents, scratch, k, percent)
+    rows = narrow.join(comps, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
+    rows = scratch.put(rows, "labelled")
+    scratch.keep(rows)
+    # written, so that the join may split a large component
+    least = scratch.put(rows.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     out = rows.filter("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -391,12 +512,14 @@ def representatives(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     Rows with an empty set are all kept, but for repeated rows (equal id and text), of which one stays.
     """
-    narrow, comps = links_and_components(documents, k, percent)
+    scratch = Scratch(documents.sparkSession, "jaccard")
+    narrow, comps = links_and_components(documents, scratch, k, percent)
     rows = narrow.filter("n > 0").join(comps, "node", "left").select("doc_id", "h", F.coalesce("comp", "node").alias("comp"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    best = rows.groupBy("comp").agg(F.min(order).alias("best"), F.count("*").alias("rows")).filter("rows > 1")
-    gone = written(rows.join(best, "comp").filter(order != F.col("best")).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "jaccard-gone")
-    again = written(narrow.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).filter("rows > 1").select("h").distinct(), "jaccard-again")
+    best = scratch.put(rows.groupBy("comp").agg(F.min(order).alias("best"), F.count("*").alias("rows")).filter("rows > 1"), "best")
+    gone = scratch.put(rows.join(best, "comp").filter(order != F.col("best")).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "gone")
+    again = scratch.put(narrow.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).filter("rows > 1").select("h").distinct(), "again")
+    scratch.keep(gone, again)
     text_hash = F.xxhash64("text")
     kept = documents.join(gone, documents.doc_id.eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")), "left_anti")
     if again.isEmpty():

@@ -65,9 +65,12 @@ def test_whole_table(spark):
     assert got(queries.op7_jaccard_components(spark, sf)) == brute(rows, 4, 85)
 
 
-@pytest.mark.parametrize("tile", [512, 4])
-def test_near_copies_and_edge_cases(spark, tile, monkeypatch):
+@pytest.mark.parametrize("tile, forest, heavy", [(512, 500_000, 4096), (4, 7, 50)])
+def test_near_copies_and_edge_cases(spark, tile, forest, heavy, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "FOREST", forest)
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "ROWS", 50)
     monkeypatch.setattr(jaccard, "SALT_ROWS", 5)
     rows = near_copies(3) + [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "a b c"), (6, "a b c"), (6, "other text of same id"), (None, "a b c"), (None, "null id alone"), (7, "é É"), (8, "é é"), (9, "w " * 50_000)]
     df = spark.createDataFrame([(d, t, "s", 1, 2) for d, t in rows], "doc_id long, text string, node string, n int, key int")
@@ -89,8 +92,27 @@ def test_keys_lose_no_link():
             a, b = np.unique(both), np.unique(np.concatenate((both[: max(1, n - int(rng.integers(0, n)))], rng.integers(0, 2**64, int(rng.integers(0, extra + 1)), dtype=np.uint64))))
             if jaccard.linked(jaccard.overlap(a, b), len(a), len(b), percent):
                 assert set(keys.of(a).tolist()) & set(keys.of(b).tolist())
-                bits = jaccard.folded([jaccard.sketch(a), jaccard.sketch(b)])
-                assert jaccard.possible(bits[0], len(a), bits[1:], np.array([len(b)]), percent)[0]
+                bits = jaccard.Sketches(pa.array([jaccard.sketch(a), jaccard.sketch(b)]))
+                assert jaccard.may_link(bits, np.array([0]), np.array([len(a)]), bits, np.array([1]), np.array([len(b)]), percent)[0]
+
+
+def test_links_of_a_large_group_stay_linear(spark):
+    """5000 near copies of one text, some linked only by way of others: links that are joined number at most 2 x nodes."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scratch = jaccard.Scratch(spark, "test")
+    narrow, comps = jaccard.links_and_components(df, scratch, 4, 85)
+    nodes = narrow.select("node").distinct().count()
+    forests = [t.count() for path, t in scratch.paths.items() if t is not None and "/forest-" in path]
+    assert nodes > 3000 and forests and max(forests) <= 2 * nodes
+    scratch.keep()
 
 
 def test_words_over_chunk_edges(monkeypatch):
