@@ -6,11 +6,13 @@ chroma is repeated up to full resolution, and colours are converted. All arithme
 float64, below 2^53, so sums are exact in any order): equal files give equal tensors.
 
 encode_payload() stores bytes losslessly in the format's own unit: byte b is the quantised coefficient b if b >= 128,
-else b - 255, so every coefficient has 8 significant bits. Three components without subsampling hold 3 x 64 bytes in
-each 8 x 8 tile. The coefficients go out in eleven scans: DC and AC bands without their lowest bit, then the lowest bits.
+else b - 255, so every coefficient has 8 significant bits. Chroma has half the resolution (4:2:0): a square of 16 x 16
+pixels holds 6 x 64 bytes, four blocks of luma and one of each chroma. The coefficients go out in eleven scans: DC and AC bands without their lowest bit, then the lowest bits.
 As the magnitudes have equally many bits, the AC scans need codes of one symbol, and their bits lie at fixed places: a
 decoder that sees such a table reads them with array operations. A comment holds the payload's length.
 
+store() writes the media to the shared folder, and read() takes them from there; the tensor column has every pixel.
+
 Defined cases: null text is empty and is one tile of spaces; repeated rows give repeated rows; a text of any length
 that fits 65,500 pixels square is stored; bytes that are no JPEG, or end early, raise Broken; other columns are not read.
 """
@@ -26,7 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siltstone.llm.common import fresh
+
 UNIT = 192
+#: Blocks of 64 bytes in a square of 16 x 16 pixels.
+SQUARE = 6
 ROWS_AT_ONCE = 64
 OUT = 4 << 20
 
@@ -438,15 +444,17 @@ CODES = segment(0xC4, b"\x00" + bytes((0, 0, 0, 9)) + bytes(12) + bytes(range(9)
 
 def encode_payload(payload: bytes) -> bytes:
     """A progressive file that holds a payload, whose length is a positive multiple of 192."""
-    tiles = len(payload) // UNIT
-    if len(payload) % UNIT or not tiles:
+    blocks = len(payload) // 64
+    if len(payload) % UNIT or not blocks:
         raise ValueError("the length must be a positive multiple of 192")
-    wide = math.isqrt(tiles - 1) + 1
-    high = -(-tiles // wide)
-    if 8 * wide > 65500:
+    squares = -(-blocks // SQUARE)
+    wide = math.isqrt(squares - 1) + 1
+    high = -(-squares // wide)
+    if 16 * wide > 65500:
         raise ValueError("the payload is too long")
-    units = np.full((wide * high, 3, 64), 32, np.uint8)
-    units[:tiles] = np.frombuffer(payload, np.uint8).reshape(tiles, 3, 64)
+    units = np.full((high * wide * SQUARE, 64), 32, np.uint8)
+    units[:blocks] = np.frombuffer(payload, np.uint8).reshape(blocks, 64)
+    units = units.reshape(high * wide, SQUARE, 64)
     value = np.where(units < 128, units.astype(np.int16) - 255, units)
     scans = []
 
@@ -455,20 +463,23 @@ def encode_payload(payload: bytes) -> bytes:
         scans.append(data.replace(b"\xff", b"\xff\x00"))
 
     dc = value[:, :, 0].astype(np.int64)
-    diff = np.diff(dc >> 1, axis=0, prepend=0).ravel()
+    half = dc >> 1
+    # differences within each component, in the order of the interleaved scan
+    diff = np.concatenate((np.diff(half[:, :4].ravel(), prepend=0).reshape(-1, 4), np.diff(half[:, 4:], axis=0, prepend=0)), axis=1).ravel()
     size = np.ceil(np.log2(np.abs(diff) + 1)).astype(np.int64)
     scan((0, 1, 2), 0, 0, 0, 0x01, pack_bits(size << size | np.where(diff < 0, diff + (1 << size) - 1, diff), 4 + size))
     scan((0, 1, 2), 0, 0, 0, 0x10, pack_bits(dc.ravel() & 1, np.ones(dc.size, np.int64)))
-    magnitude = np.abs(value)
-    # code 0 and the seven bits of half the magnitude: a byte below 128
-    coarse = np.where(value > 0, magnitude >> 1, 127 - (magnitude >> 1)).astype(np.uint8)
-    fine = (magnitude & 1).astype(np.uint8)
-    fine[:, :, 0] = 0  # the code for the end of the block
-    for p in range(3):
-        scan((p,), 0, 1, 5, 0x01, np.ascontiguousarray(coarse[:, p, 1:6]).tobytes())
-        scan((p,), 0, 6, 63, 0x01, np.ascontiguousarray(coarse[:, p, 6:]).tobytes())
-        scan((p,), 1, 1, 63, 0x10, np.packbits(fine[:, p], axis=1).tobytes())
-    frame = bytes((8,)) + (8 * high).to_bytes(2, "big") + (8 * wide).to_bytes(2, "big") + b"\x03" + b"".join(bytes((1 + p, 0x11, 0)) for p in range(3))
+    luma = value[:, :4].reshape(high, wide, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64)  # rows of blocks
+    for p, part in enumerate((luma, value[:, 4], value[:, 5])):
+        magnitude = np.abs(part)
+        # code 0 and the seven bits of half the magnitude: a byte below 128
+        coarse = np.where(part > 0, magnitude >> 1, 127 - (magnitude >> 1)).astype(np.uint8)
+        fine = (magnitude & 1).astype(np.uint8)
+        fine[:, 0] = 0  # the code for the end of the block
+        scan((p,), 0, 1, 5, 0x01, np.ascontiguousarray(coarse[:, 1:6]).tobytes())
+        scan((p,), 0, 6, 63, 0x01, np.ascontiguousarray(coarse[:, 6:]).tobytes())
+        scan((p,), 1, 1, 63, 0x10, np.packbits(fine, axis=1).tobytes())
+    frame = bytes((8,)) + (16 * high).to_bytes(2, "big") + (16 * wide).to_bytes(2, "big") + b"\x03" + b"".join(bytes((1 + p, 0x11 if p else 0x22, 0)) for p in range(3))
     head = b"\xff\xd8" + segment(0xFE, b"payload %d" % len(payload)) + segment(0xDB, b"\x00" + b"\x01" * 64) + segment(0xC2, frame) + CODES
     return head + b"".join(scans) + b"\xff\xd9"
 
@@ -476,9 +487,11 @@ def encode_payload(payload: bytes) -> bytes:
 def payload_of(image: Image) -> bytes:
     """The payload that encode_payload stored."""
     length = next((int(c[8:]) for c in image.comments if c.startswith(b"payload ")), None)
-    if length is None or len(image.parts) != 3:
+    if length is None or [(p.h, p.v) for p in image.parts] != [(2, 2), (1, 1), (1, 1)]:
         raise Broken("no payload")
-    value = np.stack([p.coefs.reshape(-1, 64) for p in image.parts], axis=1)
+    high, wide = image.mcus
+    luma = image.parts[0].coefs.reshape(high, 2, wide, 2, 64).transpose(0, 2, 1, 3, 4).reshape(high * wide, 4, 64)
+    value = np.concatenate((luma, *(p.coefs.reshape(high * wide, 1, 64) for p in image.parts[1:])), axis=1)
     return np.where(value < 0, value + 255, value).astype(np.uint8).tobytes()[:length]
 
 
@@ -519,9 +532,13 @@ def store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from limited(rows(), schema)
 
 
-def store(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each whole text, padded with spaces, as a progressive JPEG."""
-    return documents.select("doc_id", "text").mapInArrow(store_batches, STORED)
+def store(documents: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes doc_id, n_bytes and media (each whole text, padded with spaces, as a progressive JPEG) and reads them back."""
+    spark = documents.sparkSession
+    path = path or fresh(spark, "jpeg-media")
+    media = documents.select("doc_id", "text").mapInArrow(store_batches, STORED)
+    media.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(STORED).parquet(path)
 
 
 def read_batches(tensors: bool):
@@ -534,7 +551,7 @@ def read_batches(tensors: bool):
                     data = media.as_py()
                     image = Image(data)
                     rgb, payload = image.rgb(), payload_of(image)
-                    yield [doc_id, n_bytes, data, payload, image.width, image.height, rgb.tobytes() if tensors else None, feature(rgb)], 3 * len(data)
+                    yield [doc_id, n_bytes, data, payload, image.width, image.height, rgb.tobytes() if tensors else None, feature(rgb)], len(data) + len(payload) + (rgb.nbytes if tensors else 0)
 
         yield from limited(rows(), schema)
 

@@ -59,10 +59,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = jpeg.read(jpeg.store(table(spark, sf_dir, "documents")), tensors=False)
-    payload, media = F.col("payload"), F.col("media")
+    rows = jpeg.read(jpeg.store(table(spark, sf_dir, "documents")))
+    payload, media, rgb = F.col("payload"), F.col("media"), F.col("rgb")
+    tensor = [F.array("height", "width", F.lit(3)).alias("rgb_shape"), F.octet_length(rgb).cast("long").alias("rgb_bytes"), F.crc32(rgb).cast("long").alias("rgb_crc32")]
     tail = F.expr("crc32(substring(payload, -16, 16))").cast("long").alias("tail_crc32")
-    return rows.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail, F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), "feature")
+    return rows.select("doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"), tail, F.octet_length(media).cast("long").alias("media_bytes"), F.sha2(media, 256).alias("media_sha256"), "feature", *tensor)
 
 
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,12 +172,47 @@ def test_damage_raises():
             jpeg.Image(data[:cut])
 
 
+def plain_tensor(payload):
+    """The tensor straight from the payload's bytes, without the file: blocks to squares, the transform by its definition in
+    units of 2^-12, chroma pixel by pixel, colours by fixed-point factors."""
+    coefs = [b if b >= 128 else b - 255 for b in payload]
+    squares = -(-len(coefs) // 384)
+    wide = math.isqrt(squares - 1) + 1
+    high = -(-squares // wide)
+    coefs += [32 - 255] * (high * wide * 384 - len(coefs))
+    table = [[round(4096 * math.cos((2 * x + 1) * u * math.pi / 16) * (math.sqrt(0.5) if u == 0 else 1) / 2) for u in range(8)] for x in range(8)]
+    place = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+
+    def block(n):
+        grid = [0] * 64
+        for k, c in enumerate(coefs[64 * n : 64 * n + 64]):
+            grid[place[k]] = c
+        half = [[sum(grid[8 * v + u] * table[x][u] for u in range(8)) for x in range(8)] for v in range(8)]
+        return [[min(255, max(0, (sum(half[v][x] * table[y][v] for v in range(8)) + (1 << 23) >> 24) + 128)) for x in range(8)] for y in range(8)]
+
+    out = np.zeros((16 * high, 16 * wide, 3), np.uint8)
+    for s in range(high * wide):
+        six = [block(6 * s + i) for i in range(6)]
+        for y in range(16):
+            for x in range(16):
+                luma = six[2 * (y // 8) + x // 8][y % 8][x % 8]
+                cb, cr = (six[4 + i][y // 2][x // 2] - 128 for i in (0, 1))
+                rgb = (luma + (91881 * cr + 32768 >> 16), luma - (22554 * cb + 46802 * cr + 32768 >> 16), luma + (116130 * cb + 32768 >> 16))
+                out[16 * (s // wide) + y, 16 * (s % wide) + x] = [min(255, max(0, v)) for v in rgb]
+    return out
+
+
 def agree(rows, texts):
     for r in rows:
         data = (texts[r["doc_id"]] or "").encode()
         payload = data + b" " * (-len(data) % 192 if data else 192)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         media = jpeg.encode_payload(payload)
+        if len(payload) < 4000:
+            tensor = plain_tensor(payload)
+            assert (r["rgb_shape"], r["rgb_bytes"], r["rgb_crc32"]) == (list(tensor.shape), tensor.size, zlib.crc32(tensor.tobytes()))
+            sums = [int(x) for x in tensor.reshape(-1, 3).sum(0, dtype=np.int64)]
+            assert r["feature"] == ":".join(map(str, (tensor.shape[1], tensor.shape[0], *sums, int(np.abs(np.diff(tensor.astype(int), axis=1)).sum()), zlib.crc32(tensor.tobytes()))))
         assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), jpeg.feature(jpeg.Image(media).rgb()))
 
 
