@@ -74,6 +74,32 @@ def test_salvage_finds_all_records_beside_damage(packed):
         assert at == len(data)
 
 
+def test_salvage_inside_members():
+    """Many records in one member: one damaged, a member cut short, a broken trailer; all others come back."""
+    want = lambda rows: [r["page_id"] for r in rows if r["kind"] == "record"]
+    hurt = PLAIN[2].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    rows = list(warc.salvage(warc.member(b"".join([*PLAIN[:2], hurt, *PLAIN[3:]])) + warc.member(PLAIN[0])))
+    assert want(rows) == [0, 1, 3, 4, 5, 0]
+    (gap,) = [r for r in rows if r["kind"] == "gap"]
+    assert (gap["offset"], gap["inner"], gap["length"]) == (0, len(PLAIN[0]) + len(PLAIN[1]), len(hurt))
+    for level in (0, 6):
+        whole = warc.member(b"".join(PLAIN), level)
+        rows = list(warc.salvage(whole[:-20] + warc.member(PLAIN[3])))
+        assert want(rows) in ([0, 1, 2, 3, 4, 3], [0, 1, 2, 3, 4, 5, 3]) and rows[-2]["kind"] == "gap"
+        assert rows[-2]["offset"] + rows[-2]["length"] == len(whole) - 20 == rows[-1]["offset"]
+        rows = list(warc.salvage(whole[:-5] + bytes([whole[-5] ^ 1]) + whole[-4:] + warc.member(PLAIN[3])))
+        assert want(rows) == [0, 1, 2, 3, 4, 5, 3]
+
+
+def test_search_is_linear():
+    """Very many false starts of one kind, none of the other."""
+    import time
+
+    began = time.time()
+    rows = list(warc.salvage(b"WARC/1.x" * 200_000 + PLAIN[1]))
+    assert [r["kind"] for r in rows] == ["gap", "record"] and time.time() - began < 20
+
+
 def test_gap_has_place_and_reason():
     data = PLAIN[0] + b"junk" + warc.member(PLAIN[1]) + PLAIN[2][:-10]
     kinds = [(r["kind"], r.get("reason")) for r in warc.salvage(data)]
