@@ -63,16 +63,62 @@ def test_edge_cases(spark, model):
     assert secrets.digest(df.limit(0)).count() == 0
 
 
+def brute_model(model, token):
+    k = len(secrets.ALPHABET)
+    at = [secrets.ALPHABET.find(c) for c in token]
+    return sum(model[a * k + b] for a, b in zip(at, at[1:], strict=False) if a >= 0 and b >= 0)
+
+
+def brute_markov(model, text):
+    """(start, end) of the candidates that the model takes for random and that meet no base span."""
+    base, out = brute(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", text or ""):
+        if len(m[0]) < 20:
+            continue
+        t = m[0].strip(".-")
+        a = m.start() + len(m[0]) - len(m[0].lstrip(".-"))
+        if len(t) >= 20 and len(set(t)) >= 8 and brute_model(model, t) > (secrets.THRESHOLD if re.search("[0-9]", t) else secrets.NO_DIGIT):
+            if not any(x < a + len(t) and a < y for x, _, y, _ in base):
+                out.append((a, a + len(t)))
+    return out
+
+
+def test_markov_spans_equal_brute_force(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(CASES)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rounded = [float(f"{x:.6f}") for x in model]
+    for r in secrets.digest(docs, model).collect():
+        got = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("markov:")]
+        assert got == brute_markov(rounded, texts[r["doc_id"]]), r["doc_id"]
+
+
 def test_model_tells_random_from_ordinary(spark, model):
-    held_out = secrets.labelled_samples(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), 300, 25000).filter(F.length("s") >= 20)
-    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
-    got = {r["random"]: r["rate"] for r in held_out.groupBy("random").agg(F.avg((secrets.ratio(F.col("s"), table) > secrets.THRESHOLD).cast("int")).alias("rate")).collect()}
+    """Recall and precision of the scan itself on strings and documents that the models were not trained on."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    random = secrets.random_strings(spark, 5000, 10**6)
+    ordinary = secrets.identifiers(documents, 300, skip=3000).filter(F.length("s") >= 20)
+    rows = random.unionByName(ordinary).select(F.monotonically_increasing_id().alias("doc_id"), F.concat(F.lit("see "), "s", F.lit(". more")).alias("text"), "random")
+    found = secrets.scan(rows, model).select(F.col("__row.random").alias("random"), (F.size("spans") > 0).cast("int").alias("hit"))
+    got = {r["random"]: r["rate"] for r in found.groupBy("random").agg(F.avg("hit").alias("rate")).collect()}
     assert got[True] > 0.97 and got[False] < 0.01, got
+    letters = secrets.random_strings(spark, 20_000, 2 * 10**6).select(F.regexp_replace("s", "[^A-Za-z]", "").alias("text")).filter(F.length("text") >= 24)
+    found = secrets.scan(letters.withColumn("doc_id", F.lit(1)), model).agg(F.avg((F.size("spans") > 0).cast("int")).alias("rate")).collect()[0]["rate"]
+    assert found > 0.8, found
+
+
+def test_counts_of_pairs_are_those_of_identifiers(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta gamma delta"), (2, "beta x2 Gamma epsilon zeta"), (3, "one two"), (None, "no id at all here")], "doc_id long, text string")
+    want = {r["pair"]: r["n"] for r in secrets.pairs(secrets.identifiers(docs, 10).drop("random").withColumn("l", F.lit(1)), "s", "l").collect()}
+    got = {}
+    for r in secrets.identifier_pairs(docs, 10).collect():
+        got[r["pair"]] = got.get(r["pair"], 0) + r["n"]
+    # words at the ends of a text are in fewer identifiers than others: the counts are alike, not equal
+    assert set(want) <= set(got) and all(want.get(p, 0) <= n for p, n in got.items())
 
 
 def test_markov_spans(spark, model):
     text = "see Zx9Qk2Lw7Vb4Tn8Rj3Hy6Mf1 here, not configuration_value_number_12"
-    (r,) = secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    (r,) = secrets.digest(spark.createDataFrame([(1, text + "\n" + "-" * 30 + "/" * 30 + " " + "=" * 40)], "doc_id long, text string"), model).collect()
     assert r["spans"] == "markov:4:28" and r["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
