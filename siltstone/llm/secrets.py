@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import Scratch
+
 # Fixed values.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: For these two the runs are maximal, so a length in the pattern drops just what a later test would drop.
@@ -140,10 +142,10 @@ def identifiers(documents: DataFrame, sample_docs: int, skip: int = 0) -> DataFr
     return w.select(F.explode(F.concat(F.col("w"), number, *(joined(*j) for j in JOINS))).alias("s"), F.lit(False).alias("random"))
 
 
-def identifier_pairs(documents: DataFrame, sample_docs: int) -> DataFrame:
-    """The counts that pairs(identifiers()) would give, but for words' ends, from distinct words and their counts: a pair inside
-    a word counts as often as identifiers hold the word, and pairs across a join follow from the words' edges."""
-    w = word_lists(documents, sample_docs)
+def identifier_pairs(w: DataFrame) -> DataFrame:
+    """The counts that pairs(identifiers()) would give for some word lists, but for texts' ends, from distinct words and their
+    counts: a pair inside a word counts as often as identifiers hold the word, and pairs across a join follow from the words'
+    edges."""
     words = w.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     low = sum(1 if capital else 3 for _, capital in JOINS)
     forms = [("word", 2, F.col("word")), ("low", low, F.lower("word")), ("cap", 2, F.initcap("word")), ("number", 1, F.concat(F.substring("word", -1, 1), F.lit("_"), number_of(F.col("word"))))]
@@ -161,10 +163,13 @@ def train(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_strings:
     k = len(ALPHABET)
     counts = {True: [[0.5] * k for _ in range(k)], False: [[0.5] * k for _ in range(k)]}
     at = {c: i for i, c in enumerate(ALPHABET)}
-    known = pairs(random_strings(documents.sparkSession, sample_strings), "s", "random").unionByName(identifier_pairs(documents, sample_docs))
+    scratch = Scratch(documents.sparkSession, "secrets")
+    words = scratch.put(word_lists(documents, sample_docs), "words")  # read twice; of at most sample_docs documents
+    known = pairs(random_strings(documents.sparkSession, sample_strings), "s", "random").unionByName(identifier_pairs(words))
     for r in known.filter(F.col("pair").rlike("^[" + ALPHABET + "]{2}$")).collect():
         a, b = r["pair"]
         counts[r["random"]][at[a]][at[b]] += r["n"]
+    scratch.keep()
     out = []
     for i in range(k):
         rows = {x: counts[x][i] for x in counts}

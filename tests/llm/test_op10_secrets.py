@@ -110,7 +110,7 @@ def test_counts_of_pairs_are_those_of_identifiers(spark):
     docs = spark.createDataFrame([(1, "Alpha beta gamma delta"), (2, "beta x2 Gamma epsilon zeta"), (3, "one two"), (None, "no id at all here")], "doc_id long, text string")
     want = {r["pair"]: r["n"] for r in secrets.pairs(secrets.identifiers(docs, 10).drop("random").withColumn("l", F.lit(1)), "s", "l").collect()}
     got = {}
-    for r in secrets.identifier_pairs(docs, 10).collect():
+    for r in secrets.identifier_pairs(secrets.word_lists(docs, 10)).collect():
         got[r["pair"]] = got.get(r["pair"], 0) + r["n"]
     # words at the ends of a text are in fewer identifiers than others: the counts are alike, not equal
     assert set(want) <= set(got) and all(want.get(p, 0) <= n for p, n in got.items())
