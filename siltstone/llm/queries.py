@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, jaccard, jpeg, packing, quality, secrets, shards, suffixes, tokenfile, warc
+from siltstone.llm import decontaminate, jaccard, jpeg, oracles, packing, quality, secrets, shards, suffixes, tokenfile, warc
 from siltstone.session import table
 
 
@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
