@@ -1,218 +1,268 @@
 """Adaptive context-mixing range coder for token ids, run over many blocks at once.
 
-A block is coded on its own: all models start anew in it. At each place three models predict: an order-2 table (the
-id last seen after a hash of the two ids before) and an order-1 table (after the id before), each slot with a
-confidence count, and order-0 frequencies over buckets of ids (the first 512 ids alone, then groups of 256 whose
-low byte goes to a raw stream), renewed at doubling places. The confidences mix the three into one partition of
-2^16 units: a part for the order-2 id, a part for the order-1 id, the rest spread by the order-0 frequencies. A range
-coder with a 48-bit low, a 32 to 48-bit range and 16-bit words codes the part that holds the id.
-
-One numpy step handles the same place of all blocks of a batch, so the cost of Python is shared by the blocks.
+A block is coded on its own: all models start anew in it. At each place three models predict:
+
+* order 2: the id last seen after a hash of the two ids before, with a confidence,
+* order 1: the id last seen after the id before, with a confidence,
+* order 0: counts of all ids of the block so far, with an escape for new ones; they change after every id.
+
+The share of the first two is learnt in each block: for every pair of confidences (and whether both name one id) it
+counts how often each was right, from prior shares on. What they leave of the 2^16 units goes to order 0 by its counts,
+and an escaped id is coded with equal shares for the whole vocabulary. All of it goes through one range coder with a 48-bit
+low, a 32 to 48-bit range and 16-bit words.
+
+One numpy step handles the same place of all blocks of a batch, so the cost of Python is shared by the blocks. Order-0
+counts stand as running sums in a tree of three levels of 16; ids take its leaves as they come, the escape has leaf 0.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 4080
 BATCH = 512
-SINGLE = 512
-SCALE_BITS = 12
-SCALE = 1 << SCALE_BITS
+#: Bytes of the table of leaves by id that a batch may take: larger vocabularies make smaller batches.
+TABLE_BYTES = 64 << 20
 SLOT_BITS = 11
 SLOTS = 1 << SLOT_BITS
-RENEW = frozenset((16, 64, 128, 256, 512, 1024, 2048, 3072, *range(4096, 1 << 20, 4096)))
 MOST = 7
+#: Prior shares by confidence, and how many places they weigh.
 TRUST2 = (0.0, 0.35, 0.55, 0.70, 0.80, 0.86, 0.90, 0.92)
 TRUST1 = (0.0, 0.12, 0.28, 0.42, 0.52, 0.60, 0.66, 0.70)
+PRIOR = 12
+LEAST_REST = 2048
 LOW32 = np.int64((1 << 32) - 1)
-
-
-def mixture() -> np.ndarray:
-    """Parts of the order-2 and the order-1 id for each pair of confidences; at least 4096 units are left to order 0."""
-    out = np.zeros(((MOST + 1) ** 2, 2), np.int64)
-    for a in range(MOST + 1):
-        for b in range(MOST + 1):
-            two = int(65536 * TRUST2[a])
-            one = int((65536 - two) * TRUST1[b])
-            out[a * (MOST + 1) + b] = two, min(one, 61440 - two)
-    return out
-
-
-MIX = mixture()
-MIX2, MIX1 = MIX[:, 0].astype(np.int32), MIX[:, 1].astype(np.int32)
+#: What running sums of 16 counts gain when one of them grows.
+GAIN = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.int32)
+LONGEST = 4095
 #: What a slot's confidence changes by, after a miss and after a hit.
 CHANGE = np.array([k // 2 - k for k in range(MOST + 1)] + [min(k + 1, MOST) - k for k in range(MOST + 1)], np.int32)
 
 
-def buckets(vocabulary: int) -> int:
-    return SINGLE + max(1, -(-(vocabulary - SINGLE) // 256))
+def radices(vocabulary: int) -> list[int]:
+    """What an escaped id's digits are below, the highest first; a digit has at most 16 bits."""
+    return [vocabulary] if vocabulary <= 1 << 16 else [(vocabulary - 1 >> 16) + 1, 1 << 16]
 
 
 class Models:
     """The state of the models of n blocks. A slot holds 8 * id + confidence, order 2 in the first half of the table."""
 
     def __init__(self, n: int, vocabulary: int):
-        self.n, self.nb = n, buckets(vocabulary)
-        if self.nb > SCALE // 2:
-            raise ValueError("too many ids for the order-0 scale")
+        self.n, self.vocabulary = n, vocabulary
         self.slots = np.zeros(2 * n << SLOT_BITS, np.int32)
-        self.counts = np.zeros(n * self.nb, np.int32)
         self.slot_base = np.arange(2 * n, dtype=np.int64).reshape(2, n) << SLOT_BITS
-        self.count_base, self.cdf_base, self.look_base = (np.arange(n, dtype=np.int64) * w for w in (self.nb, self.nb + 1, SCALE))
-        ids = np.arange(min(vocabulary, 1 << 16), dtype=np.int64)
+        ids = np.arange(vocabulary, dtype=np.int64)
         self.hash1 = (ids * 2654435761 >> 13) & (SLOTS - 1)
         self.hash2 = (ids * 0x2545F491 >> 11) & (SLOTS - 1)
-        self.bucket_of = np.where(ids >= SINGLE, SINGLE + ((ids - SINGLE) >> 8), ids)
         self.last = np.zeros(n, np.int64)
         self.at = self.slot_base.copy()
-        self.seen, self.lookup = 0, None
-
-    def renew(self, lookup: bool) -> None:
-        n, spare = self.n, SCALE - self.nb
-        freq = self.counts.reshape(n, self.nb) * np.int64(spare) // max(1, self.seen) + 1
-        # a block that has ended has fewer ids than seen; what is left over goes to the first of the largest
-        freq[np.arange(n), freq.argmax(axis=1)] += SCALE - freq.sum(axis=1)
-        cdf = np.zeros((n, self.nb + 1), np.int32)
-        np.cumsum(freq, axis=1, out=cdf[:, 1:])
-        self.cdf = cdf.ravel()
-        if lookup:
-            self.lookup = np.repeat(np.tile(np.arange(self.nb, dtype=np.int16), n), freq.ravel())
+        # shares: of places with a context, those where order 2 was right, and those where order 1 was and order 2 was not
+        prior = np.zeros((2, 128), np.float32)
+        for a in range(MOST + 1):
+            for b in range(MOST + 1):
+                for same in range(2):
+                    two = max(TRUST2[a], TRUST1[b]) if same and a else TRUST2[a]
+                    prior[:, same << 6 | a << 3 | b] = two, 0 if same else (1 - two) * TRUST1[b]
+        self.right = np.repeat(prior[:, None, :] * PRIOR, n, axis=1).reshape(2, -1)
+        self.seen = np.full(n * 128, PRIOR, np.float32)
+        self.context_base = np.arange(n, dtype=np.int64) << 7
+        # order 0
+        self.leaf_of = np.zeros(n * vocabulary, np.int16)
+        self.id_base = np.arange(n, dtype=np.int64) * vocabulary
+        self.lanes = np.arange(n, dtype=np.int64)
+        self.sums = [np.zeros((n * 16**level, 17), np.int32) for level in range(3)]
+        self.flat = [x.reshape(-1) for x in self.sums]
+        self.names = np.zeros(n << 12, np.int32)
+        self.total, self.used = np.zeros(n, np.int64), np.ones(n, np.int64)
+        self.add(self.lanes, np.zeros(n, np.int64))
+
+    def add(self, lanes: np.ndarray, leaf: np.ndarray) -> None:
+        self.sums[0][lanes] += GAIN.take(leaf >> 8, axis=0)
+        self.sums[1][(lanes << 4) + (leaf >> 8)] += GAIN.take(leaf >> 4 & 15, axis=0)
+        self.sums[2][(lanes << 8) + (leaf >> 4)] += GAIN.take(leaf & 15, axis=0)
+        self.total[lanes] += 1
 
     def predict(self, k: int) -> None:
         self.slot = self.slots.take(self.at[:, :k], mode="clip")
         self.trust = self.slot & MOST
         self.guess = self.slot >> 3
-        pair = (self.trust[0] << 3) + self.trust[1]
-        f2, f1 = MIX2.take(pair, mode="clip"), MIX1.take(pair, mode="clip")
-        same = (self.guess[0] == self.guess[1]) & (f2 > 0)
-        more = f1 * same
-        self.f2 = f2 + more
-        self.f1 = f1 - more
-        self.base = f2 + f1
+        known = self.trust > 0
+        same = (self.guess[0] == self.guess[1]) & known[0] & known[1]
+        self.context = self.context_base[:k] + ((same.astype(np.int64) << 6) | (self.trust[0] << 3) | self.trust[1])
+        room = 65536 - np.maximum(self.total[:k], LEAST_REST)
+        per = room / self.seen.take(self.context)
+        f2 = np.where(known[0], self.right[0].take(self.context) * per, 0).astype(np.int64)
+        f1 = np.where(known[1] & ~same, self.right[1].take(self.context) * per, 0).astype(np.int64)
+        self.f2 = np.minimum(f2, room)
+        self.f1 = np.minimum(f1, room - self.f2)
+        self.base = self.f2 + self.f1
         self.rest = 65536 - self.base
 
-    def learn(self, k: int, x: np.ndarray, wide: np.ndarray, bucket: np.ndarray) -> None:
-        """After id x: a hit adds confidence, a miss halves it, and a slot with little left takes the id."""
+    def below(self, k: int, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the leaves before some, and their own."""
+        lanes, group, part = self.lanes[:k], leaf >> 8, leaf >> 4
+        at = ((lanes << 8) + part) * 17 + (leaf & 15)
+        before = self.flat[2].take(at)
+        start = before + self.flat[1].take(((lanes << 4) + group) * 17 + (part & 15)) + self.flat[0].take(lanes * 17 + group)
+        return start.astype(np.int64), (self.flat[2].take(at + 1) - before).astype(np.int64)
+
+    def leaf_at(self, k: int, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The leaf that holds a running count, the counts before it, and its own."""
+        lanes, left, leaf = self.lanes[:k], u.astype(np.int32), np.zeros(k, np.int64)
+        for level in range(3):
+            row = (lanes << 4 * level) + leaf
+            sums = self.sums[0][:k] if level == 0 else self.sums[level].take(row, axis=0)
+            i = np.count_nonzero(sums[:, 1:] <= left[:, None], axis=1)
+            left = left - self.flat[level].take(row * 17 + i)
+            leaf = leaf << 4 | i
+        at = row * 17 + i
+        return leaf, u - left, (self.flat[2].take(at + 1) - self.flat[2].take(at)).astype(np.int64)
+
+    def learn(self, k: int, x: np.ndarray, wide: np.ndarray, leaf: np.ndarray) -> None:
+        """After id x, whose leaf is 0 if it is new: a hit adds confidence, a miss halves it, and a slot with little left takes
+        the id; order 0 counts it."""
         hit = self.guess == x
         kept = self.slot + CHANGE.take(self.trust + 8 * hit, mode="clip")
         self.slots[self.at[:, :k]] = np.where((self.trust <= 1) & ~hit, 8 * x + 1, kept)
-        self.counts[self.count_base[:k] + bucket] += 1
+        self.seen[self.context] += 1
+        self.right[0][self.context] += hit[0]
+        self.right[1][self.context] += hit[1] & ~hit[0]
+        new = np.flatnonzero(leaf == 0)
+        if len(new):
+            fresh = self.used[new]
+            self.used[new] += 1
+            self.names[(new << 12) + fresh] = x[new]
+            self.leaf_of[self.id_base[new] + wide[new]] = fresh
+            self.add(new, np.zeros(len(new), np.int64))
+            leaf[new] = fresh
+        self.add(self.lanes[:k], leaf)
         h = self.hash2.take(wide, mode="clip")
         self.at[0, :k] = self.slot_base[0, :k] + (self.last[:k] ^ h)
         self.last[:k] = (h << 5 | h >> (SLOT_BITS - 5)) & (SLOTS - 1)
         self.at[1, :k] = self.slot_base[1, :k] + self.hash1.take(wide, mode="clip")
-        self.seen += 1
+
+
+def lanes_of(vocabulary: int) -> int:
+    """Blocks that are coded together."""
+    return max(8, min(BATCH, TABLE_BYTES // (2 * vocabulary)))
 
 
 def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    """The bytes of each block; all but the last must be equally long, none empty."""
-    out = []
-    for a in range(0, len(blocks), BATCH):
-        out += _encode(blocks[a : a + BATCH], vocabulary)
+    """The bytes of each block; all but the last must be equally long, none empty, of at most LONGEST ids."""
+    out, step = [], lanes_of(vocabulary)
+    for a in range(0, len(blocks), step):
+        out += _encode(blocks[a : a + step], vocabulary)
     return out
 
 
+def narrowed(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The coder's state after a part of its range, the word that leaves, and whether it does."""
+    lower, wider = low + unit * start, unit * size
+    full = wider <= LOW32
+    return np.where(full, (lower & LOW32) << 16, lower), wider << (full.view(np.int8) * np.int64(16)), lower >> 32, full
+
+
+def digits(x: np.ndarray, bases: list[int]) -> list[np.ndarray]:
+    return [x] if len(bases) == 1 else [x >> 16, x & 0xFFFF]
+
+
 def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     n, most = len(blocks), len(blocks[0])
+    if most > LONGEST:
+        raise ValueError("a block is too long")
     ids = np.zeros((most, n), np.int32)
     for i, b in enumerate(blocks):
         ids[: len(b), i] = b
-    if ids.max(initial=0) >= min(vocabulary, 1 << 16):
+    if ids.max(initial=0) >= min(vocabulary, 1 << 28) or ids.min(initial=0) < 0:
         raise ValueError("an id is beyond the vocabulary")
-    m = Models(n, vocabulary)
+    m, bases = Models(n, vocabulary), radices(vocabulary)
     low, span = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64)
-    # what each place would send, and whether it does
-    words, sent, lone = np.zeros((most + 3, n), np.int32), np.zeros((most + 3, n), bool), np.zeros((most, n), bool)
+    # what each step of each place would send, and whether it does
+    steps = 1 + len(bases)
+    words, sent = np.zeros((steps * most + 3, n), np.int32), np.zeros((steps * most + 3, n), bool)
     for t in range(most):
         k = n if t < len(blocks[-1]) else n - 1
-        if t == 0 or t in RENEW:
-            m.renew(lookup=False)
         m.predict(k)
         x = ids[t, :k]
         wide = x.astype(np.int64)
-        bucket = m.bucket_of.take(wide, mode="clip")
+        leaf = m.leaf_of.take(m.id_base[:k] + wide, mode="clip").astype(np.int64)
         hit2 = (m.guess[0] == x) & (m.f2 > 0)
         hit1 = (m.guess[1] == x) & (m.f1 > 0) & ~hit2
-        i = m.cdf_base[:k] + bucket
-        lo = m.cdf.take(i, mode="clip") * m.rest >> SCALE_BITS
-        hi = m.cdf.take(i + 1, mode="clip") * m.rest >> SCALE_BITS
+        below, own = m.below(k, leaf)
+        lo = below * m.rest // m.total[:k]
+        hi = (below + own) * m.rest // m.total[:k]
         start = np.where(hit2, 0, np.where(hit1, m.f2, m.base + lo))
         size = np.where(hit2, m.f2, np.where(hit1, m.f1, hi - lo))
-        unit = span[:k] >> 16
-        lower, wider = low[:k] + unit * start, unit * size
-        full = wider <= LOW32
-        words[t, :k] = lower >> 32
-        sent[t, :k] = full
-        low[:k] = np.where(full, (lower & LOW32) << 16, lower)
-        span[:k] = wider << (full.view(np.int8) * np.int64(16))
-        lone[t, :k] = ~(hit2 | hit1)
-        m.learn(k, x, wide, bucket)
-    words[most], words[most + 1], words[most + 2] = low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF
-    sent[most:] = True
+        low[:k], span[:k], words[steps * t, :k], sent[steps * t, :k] = narrowed(low[:k], span[:k], start, size, span[:k] >> 16)
+        new = np.flatnonzero((leaf == 0) & ~hit2 & ~hit1)
+        if len(new):
+            for j, (digit, base) in enumerate(zip(digits(wide[new], bases), bases, strict=True), 1):
+                low[new], span[new], words[steps * t + j, new], sent[steps * t + j, new] = narrowed(low[new], span[new], digit, np.int64(1), span[new] // base)
+        m.learn(k, x, wide, leaf)
+    words[-3], words[-2], words[-1] = low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF
+    sent[-3:] = True
     out = []
     for i in range(n):
         w = words[:, i][sent[:, i]].astype(np.int64)
         while (carry := w >> 16).any():  # a word beyond 16 bits adds to the word before
             w &= 0xFFFF
             w[:-1] += carry[1:]
-        x = ids[:, i][lone[:, i]]
-        raw = ((x[x >= SINGLE] - SINGLE) & 255).astype(np.uint8)
-        out.append(len(w).to_bytes(4, "little") + w.astype("<u2").tobytes() + raw.tobytes())
+        out.append(w.astype("<u2").tobytes())
     return out
 
 
 def decode(bodies: list[bytes], lengths: list[int], vocabulary: int) -> list[np.ndarray]:
     """The ids of blocks; all but the last must be equally long, none empty."""
-    out = []
-    for a in range(0, len(bodies), BATCH):
-        out += _decode(bodies[a : a + BATCH], lengths[a : a + BATCH], vocabulary)
+    out, step = [], lanes_of(vocabulary)
+    for a in range(0, len(bodies), step):
+        out += _decode(bodies[a : a + step], lengths[a : a + step], vocabulary)
     return out
 
 
 def _decode(bodies: list[bytes], lengths: list[int], vocabulary: int) -> list[np.ndarray]:
     n, most = len(bodies), lengths[0]
-    counts = [int.from_bytes(b[:4], "little") for b in bodies]
-    words = np.zeros((n, max(counts) + 1), np.int64)
-    raw = np.zeros((n, max(len(b) - 4 - 2 * c for b, c in zip(bodies, counts, strict=True)) + 1), np.int64)
-    for i, (b, c) in enumerate(zip(bodies, counts, strict=True)):
-        words[i, :c] = np.frombuffer(b, "<u2", c, 4)
-        tail = np.frombuffer(b, np.uint8, offset=4 + 2 * c)
-        raw[i, : len(tail)] = tail
+    words = np.zeros((n, max(len(b) for b in bodies) // 2 + 1), np.int64)
+    for i, b in enumerate(bodies):
+        words[i, : len(b) // 2] = np.frombuffer(b, "<u2", len(b) // 2)
     value = words[:, 0] << 32 | words[:, 1] << 16 | words[:, 2]
     width, words = words.shape[1], words.ravel()
-    at, raw_at = np.arange(n) * width + 3, np.arange(n) * raw.shape[1]
-    raw = raw.ravel()
-    m = Models(n, vocabulary)
+    at = np.arange(n) * width + 3
+    m, bases = Models(n, vocabulary), radices(vocabulary)
     span = np.full(n, (1 << 48) - 1, np.int64)
     ids = np.zeros((most, n), np.int32)
+
+    def consume(i, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
+        lower, wider = value[i] - unit * start, unit * size
+        full = wider <= LOW32
+        value[i] = np.where(full, lower << 16 | words.take(at[i], mode="clip"), lower)
+        at[i] += full
+        span[i] = wider << (full.view(np.int8) * np.int64(16))
+
     for t in range(most):
         k = n if t < lengths[-1] else n - 1
-        if t == 0 or t in RENEW:
-            m.renew(lookup=True)
         m.predict(k)
         unit = span[:k] >> 16
-        part = np.minimum(value[:k] / unit, 65535.0).astype(np.int32)
+        part = np.minimum(value[:k] / unit, 65535.0).astype(np.int64)
         hit2 = part < m.f2
         hit = part < m.base
-        over = np.maximum(part - m.base, 0)
-        u = (((over + 1 << SCALE_BITS) - 1) / m.rest).astype(np.int64)
-        bucket = m.lookup.take(m.look_base[:k] + u, mode="clip").astype(np.int64)
-        i = m.cdf_base[:k] + bucket
-        lo = m.cdf.take(i, mode="clip") * m.rest >> SCALE_BITS
-        hi = m.cdf.take(i + 1, mode="clip") * m.rest >> SCALE_BITS
-        start = np.where(hit, np.where(hit2, 0, m.f2), m.base + lo)
-        size = np.where(hit, np.where(hit2, m.f2, m.f1), hi - lo)
-        lower, wider = value[:k] - unit * start, unit * size
-        grouped = (bucket >= SINGLE) & ~hit
-        plain = np.where(grouped, SINGLE + ((bucket - SINGLE) << 8) + raw.take(raw_at[:k], mode="clip"), bucket)
-        raw_at[:k] += grouped
-        wide = np.where(hit, np.where(hit2, m.guess[0], m.guess[1]), plain)
-        full = wider <= LOW32
-        value[:k] = np.where(full, lower << 16 | words.take(at[:k], mode="clip"), lower)
-        at[:k] += full
-        span[:k] = wider << (full.view(np.int8) * np.int64(16))
+        total = m.total[:k]
+        u = ((np.maximum(part - m.base, 0) + 1) * total - 1) // m.rest
+        leaf, below, own = m.leaf_at(k, np.where(hit, 0, u))
+        lo = below * m.rest // total
+        hi = (below + own) * m.rest // total
+        consume(slice(0, k), np.where(hit, np.where(hit2, 0, m.f2), m.base + lo), np.where(hit, np.where(hit2, m.f2, m.f1), hi - lo), unit)
+        wide = np.where(hit, np.where(hit2, m.guess[0], m.guess[1]), m.names.take((m.lanes[:k] << 12) + leaf)).astype(np.int64)
+        new = np.flatnonzero((leaf == 0) & ~hit)
+        if len(new):
+            found = np.zeros(len(new), np.int64)
+            for base in bases:
+                step = span[new] // base
+                digit = np.minimum(value[new] / step, base - 1.0).astype(np.int64)
+                consume(new, digit, np.int64(1), step)
+                found = found << 16 | digit
+            # a damaged block may name any number
+            wide[new] = np.minimum(found, vocabulary - 1)
         x = wide.astype(np.int32)
         ids[t, :k] = x
-        m.learn(k, x, wide, m.bucket_of.take(wide, mode="clip"))
+        m.learn(k, x, wide, m.leaf_of.take(m.id_base[:k] + wide, mode="clip").astype(np.int64))
     return [np.ascontiguousarray(ids[: lengths[i], i]) for i in range(n)]
