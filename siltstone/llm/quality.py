@@ -110,7 +110,7 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for a in range(0, len(z), BLOCK):
             cos = z[a : a + BLOCK] @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            near = nearest(cos, k)
             c = np.take_along_axis(cos, near, axis=1).astype(np.float64)
             w = np.exp(SHARPNESS * (c - c.max(axis=1, keepdims=True)))
             vote = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
@@ -119,6 +119,18 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """For each row the places of its k largest values in ascending order; of equal ones the first."""
+    least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+    take = cos >= least
+    over = np.flatnonzero(take.sum(axis=1) > k)
+    if len(over):
+        tied = cos[over] == least[over]
+        room = k - (cos[over] > least[over]).sum(axis=1, keepdims=True)
+        take[over] &= ~tied | (np.cumsum(tied, axis=1) <= room)
+    return np.nonzero(take)[1].reshape(-1, k)
+
+
 def dense(r: np.ndarray, f: np.ndarray, v: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
     x = np.zeros((n, FEATURES), np.float32)
     x[r, f] = v
@@ -175,7 +187,8 @@ def learn(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
     """labels: doc_id and label (0 or 1). At most `bound` labelled texts are used; each has FEATURES features at most."""
     own = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.avg("label").cast("double").alias("label"))
     own = own.join(documents.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    texts = documents.select("doc_id", "text").join(own, "doc_id").dropDuplicates(["doc_id"]).select("label", "text")
+    # of several texts of one id that with the least hash
+    texts = documents.select("doc_id", "text").join(own, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).select("label", "text")
     rows = sorted(((r["label"], np.array(r["f"], np.int32), np.array(r["v"], np.float32)) for r in texts.mapInArrow(feature_batches, "label double, f array<int>, v array<float>").toLocalIterator()), key=lambda x: (x[0], len(x[1]), x[1].tobytes(), x[2].tobytes()))
     return fit([(f, v) for _, f, v in rows], np.array([y for y, _, _ in rows]))
 
