@@ -16,14 +16,16 @@ listed, though what they cover is hit; empty tables give no rows or no hits; oth
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_slices, fresh, written
+from siltstone.llm.common import Scratch, byte_slices, fresh, written
 from siltstone.llm.words import ALNUM, word_hashes
 
 SHARD_WORDS = 1 << 20
@@ -248,13 +250,19 @@ def query_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list
 def search(index: DataFrame, benchmark: DataFrame, n: int = 10, slack: int = 0) -> DataFrame:
     """For each document: its words, how many are hit, the items found, the hit runs of words, and proximity matches."""
     spark = index.sparkSession
-    found = None
-    for number, block in enumerate(query_blocks(benchmark)):
-        rows = index.mapInArrow(search_batches(spark.sparkContext.broadcast(block), n, slack), FOUND)
-        found = rows if found is None else found.unionByName(rows)
-    if number == 0:
-        return found.drop("shard", "place")
-    # several blocks: every document has a row for each
+    blocks = query_blocks(benchmark)
+    first, second = next(blocks), next(blocks, None)
+    look = lambda block: index.mapInArrow(search_batches(block, n, slack), FOUND)
+    if second is None:
+        return look(spark.sparkContext.broadcast(first)).drop("shard", "place")
+    # several blocks: every document has a row for each; a block leaves the driver and the executors before the next one
+    scratch, parts = Scratch(spark, "found"), []
+    for block in itertools.chain((first, second), blocks):
+        shared = spark.sparkContext.broadcast(block)
+        parts.append(scratch.put(look(shared), "block"))
+        shared.destroy()
+    del first, second, block
+    found = reduce(DataFrame.unionByName, parts)
     spans = F.flatten(F.collect_list("spans"))
     runs = F.aggregate(
         F.array_sort(spans),
