@@ -5,12 +5,14 @@ A byte goes if it lies in a string of `width` bytes that also starts earlier (in
 1. Equal texts are brought together first: all but the first of them go whole (if they have `width` bytes).
 2. Every width-byte window has the least hash of its 32-byte pieces as its anchor; equal windows have equal anchors.
    Neighbouring windows with one anchor form a segment. Anchors are counted with a partial aggregate (twice if a segment
-   may repeat itself), those seen twice set bits of a bitmap (at most MOST_BITS, which is broadcast), and segments whose anchor may repeat are exchanged by
+   may repeat itself), those seen twice set bits of a bitmap (of at most 2^30 bits, which is broadcast), and segments whose anchor may repeat are exchanged by
    anchor with their bytes.
 3. A task takes the segments of some anchors at a time and builds the suffix array of their bytes: the suffixes that are
    smaller than their successor are sorted directly, to a depth of the width; the others are induced from them, bucket
    by bucket. Adjacent suffixes with a common prefix of the width are equal windows; all but the earliest are covered.
-   An anchor with more than GROUP_BYTES of segments is not held in a task: its windows' hashes go to an aggregate.
+   Only windows are sorted, and what they are induced from; the bytes that just end a segment's last windows are not.
+   An anchor with more than GROUP_BYTES of segments is not held in a task: two 64-bit hashes of each of its windows go to
+   an aggregate, SLICE_ROWS at a time, which finds the same repeats.
 4. Covered runs are gathered by document, merged, and cut out.
 
 Defined cases: null text is empty; a null doc_id comes after all others; of repeated rows one is the first; an empty
@@ -26,16 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import byte_slices, mix64, written
-from siltstone.llm.filters import BITS, bitmaps, flagged
+from siltstone.llm.common import Scratch, byte_slices, mix64
+from siltstone.llm.filters import among, bits_of, buckets_for, flagged
 from siltstone.llm.words import utf8
 
 WIDTH = 100
 PIECE = 32
 CHUNK = 2 << 20
 GROUP_BYTES = 24 << 20
-MOST_BITS = 1 << 30
+SLICE_ROWS = 100_000
 LAST = 2**63 - 1
+#: Odd bases of the rolling hashes.
+BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
 def sliding(x: np.ndarray, wide: int, pick: np.ufunc) -> np.ndarray:
@@ -89,19 +93,17 @@ def anchor_batches(width: int):
 SEGMENT = "anchor long, doc_id long, h long, h2 long, start int, body binary, twice boolean"
 
 
-def segment_batches(maps, buckets: int, width: int):
+def segment_batches(bits, width: int):
     """Segments whose anchor's bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = maps.value
         for b in batches:
             for some in byte_slices(b, 3, CHUNK):
                 body, offs = utf8(some.column(3))
                 rows, marks, starts, ends, places, twice = [], [], [], [], [], []
                 for i, (x, y) in enumerate(zip(offs.tolist(), offs[1:].tolist(), strict=False)):
                     m, first, past, own = anchors(body[x:y], width)
-                    bit = m.astype(np.int64) % (buckets * BITS)  # of the sign of the divisor, as pmod
-                    on = (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                    on = among(bits.value, m.astype(np.int64))
                     rows.append(np.full(int(on.sum()), i))
                     marks.append(m[on])
                     places.append(first[on])
@@ -138,39 +140,57 @@ def smaller_than_next(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def direct_sort(at: np.ndarray, eight: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` bytes (or more), eight bytes a round; a round takes only those still tied."""
+def rolling(data: np.ndarray, width: int, base: int) -> np.ndarray:
+    """A 64-bit hash of each window of some bytes, from running sums of a polynomial."""
+    n = len(data)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, n), dtype=np.uint64)))
+    return mix64((sums[width:] - sums[:-width]) * powers(pow(base, -1, 2**64), n - width + 1))
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n-1) modulo 2^64; those of up to 2^22 places are kept."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        steps = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
+        steps[0] = 1
+        known = np.multiply.accumulate(steps)
+        if len(known) <= 1 << 22:
+            _powers[base] = known
+    return known[:n]
+
+
+def direct_sort(at: np.ndarray, eight: np.ndarray, depth: int, whole: np.ndarray) -> np.ndarray:
+    """Suffixes in order of their first `depth` bytes (or more), eight bytes a round; a round takes only those still tied.
+    whole: a hash of the first `depth` bytes; suffixes that share it stay as they are."""
     at = at[np.argsort(eight[at], kind="stable")]
     active = np.arange(len(at))  # places in the result whose order isn't settled
-    group = np.cumsum(np.concatenate(([0], eight[at][1:] != eight[at][:-1]))) if len(at) else active
+    change = eight[at][1:] != eight[at][:-1]
     for d in range(8, depth, 8):
-        size = np.bincount(group)
-        tied = size[group] > 1
-        active, group = active[tied], np.unique(group[tied], return_inverse=True)[1]
         if not len(active):
             break
-        # groups that agree with their first suffix to the whole depth are settled
-        first = np.searchsorted(group, np.arange(group[-1] + 1))
-        same = np.ones(len(active), bool)
-        for e in range(d, depth, 8):
-            i = np.flatnonzero(same)
-            same[i] = eight[at[active[i]] + e] == eight[at[active[first[group[i]]]] + e]
-        open_groups = np.zeros(group[-1] + 1, bool)
-        open_groups[group[~same]] = True
-        go = open_groups[group]
+        group = np.cumsum(np.concatenate(([False], change)))
+        first = np.flatnonzero(np.concatenate(([True], change)))
+        # a group goes on if it has a suffix that differs from its first one
+        name = whole[at[active]]
+        differs = name != name[first[group]]
+        go = np.bincount(group, differs)[group] > 0
         active, group = active[go], group[go]
-        if not len(active):
-            break
         key = eight[at[active] + d]
         order = np.lexsort((key, group))
         at[active] = at[active[order]]
         key, group = key[order], group[order]
-        group = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]) | (key[1:] != key[:-1]))))
+        change = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
     return at
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of some bytes in order of their first `depth` bytes, by two-stage sorting.
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The wanted suffixes (all without a mask) of some bytes in order of their first `depth` bytes, by two-stage sorting; those
+    from a wanted one up to the next that is smaller than its successor come along, as it is induced from them.
 
     Bucket by bucket of the first byte: the suffixes greater than their successor come first, induced from the successors
     in the order of the buckets before and then of the bucket itself (runs of its byte, one byte longer at each step);
@@ -179,12 +199,23 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     n = len(data)
     padded = np.concatenate((data, np.zeros(depth + 16, np.uint8)))
     small = smaller_than_next(data)
-    direct = direct_sort(np.flatnonzero(small), words_at(padded), depth)
+    keep = np.ones(n, bool)
+    if wanted is not None:
+        # wanted, or between a wanted place and the next small one (itself included)
+        from_small = np.concatenate(([0], np.cumsum(small)))[:-1]  # small places before each
+        some = np.flatnonzero(wanted & ~small)
+        run, at = np.unique(from_small[some], return_index=True)
+        begin = np.full(int(small.sum()) + 1, n)
+        begin[run] = some[at]  # the first wanted place of each run up to a small one
+        keep = wanted | (np.arange(n) >= begin[from_small])
+    take = np.flatnonzero(small & keep)
+    direct = direct_sort(take, words_at(padded), depth, rolling(padded, depth, BASES[0]))
+    induce = keep & ~small
     first = data[direct].astype(np.int64)
     edges = np.searchsorted(first, np.arange(257))
-    out, filled = np.empty(n, np.int64), 0
+    out, filled = np.empty(int(keep.sum()), np.int64), 0
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if n:
+    if n and keep[n - 1]:
         waiting[data[-1]].append(np.array([n - 1]))  # its successor is the empty suffix, the least of all
     for c in range(256):
         begin = filled
@@ -193,14 +224,14 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             out[filled : filled + len(level)] = level
             filled += len(level)
             before = level[level > 0] - 1
-            level = before[(data[before] == c) & ~small[before]]
+            level = before[(data[before] == c) & induce[before]]
         part = direct[edges[c] : edges[c + 1]]
         out[filled : filled + len(part)] = part
         filled += len(part)
         done = out[begin:filled]
         before = done[done > 0] - 1
         byte = data[before]
-        up = (byte > c) & ~small[before]
+        up = (byte > c) & induce[before]
         before, byte = before[up], byte[up]
         if len(before):
             order = np.argsort(byte, kind="stable")
@@ -218,10 +249,11 @@ def repeats(bodies: list[bytes], rank: np.ndarray, width: int) -> list[np.ndarra
     lengths = np.array([len(b) for b in bodies])
     ends = np.cumsum(lengths)
     data = np.frombuffer(b"".join(bodies), np.uint8)
-    order = suffix_array(data, width)
     owner = np.repeat(np.arange(len(bodies)), lengths)
     place = np.arange(len(data)) - (ends - lengths)[owner]
-    order = order[(place + width <= lengths[owner])[order]]
+    own = place + width <= lengths[owner]  # the windows; the bytes after them only end the last ones
+    order = suffix_array(data, width, own)
+    order = order[own[order]]
     # common prefixes of neighbours, as far as the width
     eight = words_at(np.concatenate((data, np.zeros(8, np.uint8))))
     same = np.ones(max(0, len(order) - 1), bool)
@@ -247,18 +279,19 @@ FOUND = "doc_id long, h long, h2 long, start int, stop int, window long, window2
 FOUND_SCHEMA = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("window", pa.int64()), ("window2", pa.int64())])
 
 
-def window_rows(table: pa.Table, width: int) -> pa.RecordBatch:
-    """Each window of some segments with two hashes of it, for an anchor that is too frequent for a task."""
-    names, out = [table.column(c).to_pylist() for c in ("doc_id", "h", "h2")], []
-    weights = [mix64(np.arange(width, dtype=np.uint64) + np.uint64(s)) | np.uint64(1) for s in (1, 1 << 32)]
-    for i, (start, body) in enumerate(zip(table.column("start").to_pylist(), table.column("body").to_pylist(), strict=True)):
-        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(body, np.uint8), width)
-        for a in range(0, len(view), 4096):
-            part = view[a : a + 4096].astype(np.uint64) + np.uint64(1)
-            out.append((np.full(len(part), i), start + a + np.arange(len(part)), *(mix64(part @ w).astype(np.int64) for w in weights)))
-    at, place, one, two = (np.concatenate(x) for x in zip(*out, strict=True))
-    cols = [pa.array(n, pa.int64()).take(pa.array(at)) for n in names]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(place.astype(np.int32)), pa.array((place + width).astype(np.int32)), pa.array(one), pa.array(two)], schema=FOUND_SCHEMA)
+def window_rows(batches: list[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Each window of some segments with two hashes of it, for an anchor that is too frequent for a task; so many at a time."""
+    for b in batches:
+        body, offs = utf8(b.column(5))
+        starts, counts = b.column(4).to_numpy(), np.diff(offs) - width + 1
+        one, two = (rolling(body, width, base).astype(np.int64) for base in BASES)
+        for x in range(0, len(counts), max(1, SLICE_ROWS // max(1, int(counts.max(initial=1))))):
+            some = np.arange(x, min(len(counts), x + max(1, SLICE_ROWS // max(1, int(counts.max(initial=1))))))
+            row = np.repeat(some, counts[some])
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some])
+            at, place = offs[row] + nth, starts[row] + nth
+            names = [b.column(c).take(pa.array(row)) for c in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(place.astype(np.int32)), pa.array((place + width).astype(np.int32)), pa.array(one[at]), pa.array(two[at])], schema=FOUND_SCHEMA)
 
 
 def covered_rows(table: pa.Table, width: int) -> pa.RecordBatch:
@@ -302,12 +335,12 @@ def repeat_batches(width: int, chunk: int, group_bytes: int):
                         opened, last = len(held), anchor[x]
                     part, n = some.slice(x, y - x), int(bytes_to[y] - bytes_to[x])
                     if large:
-                        yield window_rows(pa.Table.from_batches([part]), width)
+                        yield from window_rows([part], width)
                         continue
                     held.append(part)
                     size, open_size = size + n, open_size + n
                     if open_size > group_bytes:
-                        yield window_rows(pa.Table.from_batches(held[opened:]), width)
+                        yield from window_rows(held[opened:], width)
                         held, size, large = held[:opened], size - open_size, True
         if held:
             yield covered_rows(pa.Table.from_batches(held), width)
@@ -344,6 +377,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, spans (removed bytes, as half-open runs) and kept (the other bytes) of every row."""
     spark = documents.sparkSession
+    scratch = Scratch(spark, "suffix")
     text = F.coalesce("text", F.lit(""))
     base = documents.select("doc_id", F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("h2"), text.alias("text"))
     key = ["doc_id", "h", "h2"]
@@ -351,16 +385,17 @@ def dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
     # equal texts
     n = F.octet_length("text").cast("long")
     rows = base.groupBy(*key).agg(F.count("*").alias("rows"), F.first(n).alias("n"), F.first(F.when(n < width, F.col("text"))).alias("short"))
-    rows = written(rows, "suffix-rows")
+    rows = scratch.put(rows, "rows")
     order = F.coalesce("doc_id", F.lit(LAST))
     groups = rows.groupBy("h", "h2").agg(F.sum("rows").alias("copies"), F.min(order).alias("head")).filter("copies > 1")
-    told = written(rows.join(groups, ["h", "h2"]).withColumn("is_head", order == F.col("head")), "suffix-copies")
-    seen = flagged(base, F.col("h"), told.select("h").distinct())
-    heads = told.filter("is_head").select(F.col("doc_id").alias("d"), "h", "h2")
+    told = scratch.put(rows.join(groups, ["h", "h2"]).withColumn("is_head", order == F.col("head")), "copies")
+    seen = flagged(base, F.col("h"), told.select("h").distinct(), buckets_for(told.count()))
+    heads = told.filter("is_head").select(F.col("doc_id").alias("d"), F.lit(True).alias("told"), "h", "h2")
     many = seen.filter("__maybe").drop("__maybe")
-    first = many.join(heads, ["h", "h2"]).filter(F.col("doc_id").eqNullSafe(F.col("d"))).select(*key, "text").dropDuplicates(key)
-    single = many.join(told.select("h", "h2").distinct(), ["h", "h2"], "left_anti").select(*key, "text")
-    single = written(first.unionByName(single), "suffix-heads")
+    # one text of each task is exchanged, however many copies there are
+    one = many.groupBy("h", "h2").agg(F.first("text").alias("text"), F.first("doc_id").alias("own"))
+    single = one.join(heads, ["h", "h2"], "left").select(F.when(F.col("told"), F.col("d")).otherwise(F.col("own")).alias("doc_id"), "h", "h2", "text")
+    single = scratch.put(single, "heads")
     texts = seen.filter("not __maybe").select(*key, "text").unionByName(single)
     whole = F.col("n") >= width
     kept = F.when(whole, F.lit("")).otherwise(F.col("short")).cast("binary")
@@ -370,20 +405,19 @@ def dedup(documents: DataFrame, width: int = WIDTH) -> DataFrame:
 
     # anchors that repeat
     repeated = texts.select("text").mapInArrow(anchor_batches(width), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    repeated = written(repeated, "suffix-anchors")
-    buckets = 1 << max(9, min(MOST_BITS // BITS, 16 * repeated.count() // BITS).bit_length())
-    bits = np.zeros(buckets * BITS // 8, np.uint8)
-    for r in bitmaps(repeated, buckets).toLocalIterator():
-        bits[r["__bucket"] * BITS // 8 : (r["__bucket"] + 1) * BITS // 8] = np.frombuffer(r["__map"], np.uint8)
-    segments = texts.mapInArrow(segment_batches(spark.sparkContext.broadcast(bits), buckets, width), SEGMENT)
+    repeated = scratch.put(repeated, "anchors")
+    bits = spark.sparkContext.broadcast(bits_of(repeated, buckets_for(repeated.count())))
+    segments = texts.mapInArrow(segment_batches(bits, width), SEGMENT)
     dealt = segments.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h", "h2", "start")
-    found = written(dealt.mapInArrow(repeat_batches(width, CHUNK, GROUP_BYTES), FOUND), "suffix-found")
+    found = scratch.put(dealt.mapInArrow(repeat_batches(width, CHUNK, GROUP_BYTES), FOUND), "found")
     covered = found.filter("window is null").select(*key, "start", "stop").unionByName(frequent(found.filter("window is not null")))
 
     # cuts
     by_doc = covered.groupBy("h", "h2", order.alias("o")).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    by_doc = written(by_doc, "suffix-cuts")
-    told = flagged(texts, F.col("h"), by_doc.select("h"))
+    by_doc = scratch.put(by_doc, "cuts")
+    bits.unpersist()
+    scratch.drop(rows, repeated, found)
+    told = flagged(texts, F.col("h"), by_doc.select("h"), buckets_for(by_doc.count()))
     none = told.filter("not __maybe").select("doc_id", n.alias("n_bytes"), F.array().cast("array<struct<start:long,stop:long>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
     some = told.filter("__maybe").withColumn("o", order).join(by_doc, ["h", "h2", "o"], "left").select("doc_id", "text", "found")
     cut = some.mapInArrow(cut_batches, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")

@@ -42,6 +42,34 @@ def test_suffix_array(data):
         assert sorted(order) == list(range(len(data)))
         cut = [data[i:] + b"" for i in order]
         assert all(x[:depth] <= y[:depth] for x, y in zip(cut, cut[1:], strict=False))
+        wanted = np.array([i * 7 % 11 < 3 for i in range(len(data))], bool)
+        some = suffixes.suffix_array(a, depth, wanted).tolist()
+        assert len(set(some)) == len(some) and set(np.flatnonzero(wanted).tolist()) <= set(some)
+        assert all(data[x : x + depth] <= data[y : y + depth] for x, y in zip(some, some[1:], strict=False))
+
+
+def test_rolling_hashes_name_windows():
+    data = np.frombuffer(bytes(random.Random(1).choices(b"ab", k=3000)), np.uint8)
+    for width in (5, 100):
+        h = suffixes.rolling(data, width, suffixes.BASES[0])
+        windows = [data[i : i + width].tobytes() for i in range(len(data) - width + 1)]
+        assert len(h) == len(windows) and len(set(zip(windows, h.tolist(), strict=True))) == len(set(windows)) == len(set(h.tolist()))
+    assert len(suffixes.rolling(data[:3], 5, suffixes.BASES[1])) == 0
+
+
+def test_frequent_anchor_in_slices():
+    """Some megabytes of one anchor come out in slices of bounded size."""
+    import pyarrow as pa
+
+    body = bytes(range(32, 127)) * 3
+    n = 20_000
+    cols = [pa.array([5] * n), pa.array(range(n)), pa.array([0] * n), pa.array([0] * n), pa.array([0] * n, pa.int32()), pa.array([body] * n, pa.binary()), pa.array([False] * n)]
+    batch = pa.RecordBatch.from_arrays(cols, names=["anchor", "doc_id", "h", "h2", "start", "body", "twice"])
+    rows = 0
+    for out in suffixes.repeat_batches(100, 1 << 20, 1 << 20)(iter([batch])):
+        assert out.num_rows <= suffixes.SLICE_ROWS
+        rows += out.num_rows
+    assert rows == n * (len(body) - 99)
 
 
 def test_whole_table(spark):
