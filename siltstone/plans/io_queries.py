@@ -325,3 +325,11 @@ def seed_gather(spark, sf_dir):
     path = folder(spark)
     code(spark, sf_dir).select("content").write.parquet(f"{path}/source")
     return runners.gather_seeds(spark, connectors.Folder(f"{path}/source"), path, checker="compile")["stats"]
+
+
+@query(f"SELECT count(*) AS pairs, 0::BIGINT AS missing FROM {EXTRACTED} WHERE {GOOD}")
+def staged_pipeline(spark, sf_dir):
+    """The stage runner from files to the final dataset, every stage written and read again; all its artefacts are there."""
+    run = Pipeline(spark, folder(spark))
+    out = run.run(code(spark, sf_dir).select("content"), checker="compile", name="code")
+    return out["final"].agg(F.count("*").alias("pairs")).withColumn("missing", F.lit(len(run.missing())).cast("long"))
