@@ -20,7 +20,7 @@ ARTEFACTS = ("functions", "seeds", "concepts", "instructions", "responses", "val
 def identity(files: DataFrame) -> str:
     """What the contents are, whatever their order: one aggregate over the input."""
     h = F.xxhash64("content")
-    (row,) = files.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s")).collect()
+    (row,) = files.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 20))).alias("s")).collect()
     return f"{row['n']}-{row['x']}-{row['s']}"
 
 
