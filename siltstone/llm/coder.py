@@ -20,9 +20,9 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 4080
-BATCH = 512
+BATCH = 1024
 #: Bytes of the table of leaves by id that a batch may take: larger vocabularies make smaller batches.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 128 << 20
 SLOT_BITS = 11
 SLOTS = 1 << SLOT_BITS
 MOST = 7
@@ -74,13 +74,15 @@ class Models:
         self.flat = [x.reshape(-1) for x in self.sums]
         self.names = np.zeros(n << 12, np.int32)
         self.total, self.used = np.zeros(n, np.int64), np.ones(n, np.int64)
+        self.live = None  # the lanes of a whole step: the first ones
         self.add(self.lanes, np.zeros(n, np.int64))
 
     def add(self, lanes: np.ndarray, leaf: np.ndarray) -> None:
-        self.sums[0][lanes] += GAIN.take(leaf >> 8, axis=0)
+        some = slice(0, len(lanes)) if lanes is self.live else lanes
+        self.sums[0][some] += GAIN.take(leaf >> 8, axis=0)
         self.sums[1][(lanes << 4) + (leaf >> 8)] += GAIN.take(leaf >> 4 & 15, axis=0)
         self.sums[2][(lanes << 8) + (leaf >> 4)] += GAIN.take(leaf & 15, axis=0)
-        self.total[lanes] += 1
+        self.total[some] += 1
 
     def predict(self, k: int) -> None:
         self.slot = self.slots.take(self.at[:, :k], mode="clip")
@@ -110,12 +112,12 @@ class Models:
         """The leaf that holds a running count, the counts before it, and its own."""
         lanes, left, leaf = self.lanes[:k], u.astype(np.int32), np.zeros(k, np.int64)
         for level in range(3):
-            row = (lanes << 4 * level) + leaf
-            sums = self.sums[0][:k] if level == 0 else self.sums[level].take(row, axis=0)
-            i = np.count_nonzero(sums[:, 1:] <= left[:, None], axis=1)
-            left = left - self.flat[level].take(row * 17 + i)
-            leaf = leaf << 4 | i
-        at = row * 17 + i
+            first = ((lanes << 4 * level) + leaf) * 17
+            at = first
+            for step in (8, 4, 2, 1):  # running sums ascend: halve the row
+                at = at + step * (self.flat[level].take(at + step) <= left)
+            left = left - self.flat[level].take(at)
+            leaf = leaf << 4 | at - first
         return leaf, u - left, (self.flat[2].take(at + 1) - self.flat[2].take(at)).astype(np.int64)
 
     def learn(self, k: int, x: np.ndarray, wide: np.ndarray, leaf: np.ndarray) -> None:
@@ -135,7 +137,8 @@ class Models:
             self.leaf_of[self.id_base[new] + wide[new]] = fresh
             self.add(new, np.zeros(len(new), np.int64))
             leaf[new] = fresh
-        self.add(self.lanes[:k], leaf)
+        self.live = self.lanes[:k]
+        self.add(self.live, leaf)
         h = self.hash2.take(wide, mode="clip")
         self.at[0, :k] = self.slot_base[0, :k] + (self.last[:k] ^ h)
         self.last[:k] = (h << 5 | h >> (SLOT_BITS - 5)) & (SLOTS - 1)

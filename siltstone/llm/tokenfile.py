@@ -25,7 +25,7 @@ from siltstone.llm.common import byte_slices, fresh, write_file, written
 from siltstone.llm.encode import encoder
 
 MAGIC = b"SILTTOK1"
-FILE_IDS = 2 << 20
+FILE_IDS = 4 << 20
 SLICE = 1 << 20
 MANIFEST = "part int, number int, name string, docs long, ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
@@ -143,7 +143,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each document: doc_id, start (ids of all documents before it), n_tokens and ids (little-endian uint32)."""
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}-manifest")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each file: a few numbers for some millions of ids
+    # one row for each file: a few numbers for some 4 million ids
     firsts = manifest.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0))).select("name", "first")
     if firsts.isEmpty():
         return spark.createDataFrame([], ROWS)
