@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import decontaminate, jaccard, packing, quality, queries, secrets
-from siltstone.llm.common import written
+from siltstone.llm.common import Scratch
 from siltstone.session import table
 
 
@@ -54,7 +54,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
+        docs = scratch.put(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        scratch.keep(docs)
     return docs

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, byte_slices, fresh, written
+from siltstone.llm.common import Scratch, byte_slices, delete, fresh, written
 from siltstone.llm.words import ALNUM, word_hashes
 
 SHARD_WORDS = 1 << 20
@@ -289,5 +289,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """
     text_hash = F.xxhash64("text")
     marked = documents.select(text_hash.alias("doc_id"), "text")
-    hit = written(search(build(marked), benchmark, n).filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
+    scratch = Scratch(documents.sparkSession, "decontaminate")
+    index = f"{scratch.folder}/postings"
+    hit = scratch.put(search(build(marked, index), benchmark, n).filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct(), "hits")
+    delete(documents.sparkSession, index)
     return documents.join(hit, text_hash == F.col("__hit"), "left_anti")

@@ -388,12 +388,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def texts_of(documents: DataFrame, narrow: DataFrame, nodes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """node and text of one row for each of the given nodes."""
     text_hash = F.xxhash64("text")
-    ids = narrow.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("row"))
-    ids = scratch.put(ids.select("node", F.col("row.doc_id").alias("d"), F.col("row.h").alias("h")), "chosen")
-    near = flagged(documents.select("doc_id", "text"), text_hash, ids.select("h"), buckets_for(ids.count())).filter("__maybe")
-    # of repeated rows one, before any exchange; another text of the same hash makes another node
-    near = near.groupBy("doc_id", text_hash.alias("h")).agg(F.first("text").alias("text"))
-    rows = near.join(ids, near.doc_id.eqNullSafe(ids.d) & (near.h == ids.h)).select("node", "text")
+    ids = scratch.put(narrow.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")), "chosen")
+    near = flagged(documents.select("text"), text_hash, ids.select("h"), buckets_for(ids.count())).filter("__maybe")
+    # of equal texts one, before any exchange; another text of the same hash makes another node
+    rows = near.groupBy(text_hash.alias("h")).agg(F.first("text").alias("text")).join(ids, "h").select("node", "text")
     return rows.mapInArrow(own_rows(k), "node long, text string")
 
 
@@ -410,6 +408,7 @@ def links_and_components(documents: DataFrame, scratch: Scratch, k: int = 5, per
     led = scratch.put(led, "led")
     bits = spark.sparkContext.broadcast(bits_of(led.select("key"), buckets_for(led.count())))
     rows = documents.select("text").mapInArrow(key_batches(k, percent, bits), "key long, node long, size long")
+    # a node's rows from several tasks become one by key and node, so that the join may still split a frequent key
     shared = scratch.put(rows.distinct().join(led, "key"), "keys")
     bits.unpersist()
     nodes = narrow.groupBy("node").agg(F.first("n").alias("size"), F.first("sketch").alias("sketch"))
@@ -517,13 +516,16 @@ def representatives(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     rows = narrow.filter("n > 0").join(comps, "node", "left").select("doc_id", "h", F.coalesce("comp", "node").alias("comp"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     best = scratch.put(rows.groupBy("comp").agg(F.min(order).alias("best"), F.count("*").alias("rows")).filter("rows > 1"), "best")
-    gone = scratch.put(rows.join(best, "comp").filter(order != F.col("best")).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "gone")
+    gone = scratch.put(rows.join(best, "comp").filter(order != F.col("best")).select(F.col("doc_id").alias("__d"), F.col("h").alias("__g")).distinct(), "gone")
     again = scratch.put(narrow.groupBy("doc_id", "h").agg(F.count("*").alias("rows")).filter("rows > 1").select("h").distinct(), "again")
     scratch.keep(gone, again)
-    text_hash = F.xxhash64("text")
-    kept = documents.join(gone, documents.doc_id.eqNullSafe(F.col("__d")) & (text_hash == F.col("__h")), "left_anti")
-    if again.isEmpty():
-        return kept
-    told = flagged(kept.withColumn("__h", text_hash), F.col("__h"), again)
-    once = told.filter("__maybe").dropDuplicates(["doc_id", "__h"])
-    return told.filter("not __maybe").unionByName(once).select(*documents.columns)
+    kept = among_maybe(documents.withColumn("__h", F.xxhash64("text")), gone.select("__g"), lambda some: some.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__g")), "left_anti"))
+    if not again.isEmpty():
+        kept = among_maybe(kept, again, lambda some: some.dropDuplicates(["doc_id", "__h"]))
+    return kept.select(*documents.columns)
+
+
+def among_maybe(df: DataFrame, hashes: DataFrame, use) -> DataFrame:
+    """Applies a step to the rows whose __h may be among some hashes; the others are neither changed nor exchanged."""
+    told = flagged(df, F.col("__h"), hashes, buckets_for(hashes.count()))
+    return told.filter("not __maybe").drop("__maybe").unionByName(use(told.filter("__maybe").drop("__maybe")))

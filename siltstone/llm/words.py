@@ -16,7 +16,7 @@ SPACED = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
 ALNUM = np.array([0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 for c in range(256)])
 LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], dtype=np.uint8)
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _powers = np.ones(1, dtype=np.uint64)
 
 
