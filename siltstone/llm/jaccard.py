@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, mix64
+from siltstone.llm.common import Scratch, batch_rows, mix64
 from siltstone.llm.filters import among, bits_of, buckets_for, flagged
 from siltstone.llm.words import shingle_sets, utf8
 
@@ -48,6 +48,8 @@ KEY_BITS = np.uint64(52)
 #: Links that one task contracts, and rows whose pairs are formed at once.
 FOREST = 500_000
 ROWS = 20_000
+#: Rows, with their whole texts, that a task hands to Python at a time.
+BATCH = 1000
 
 
 def bands(percent: int, most: int) -> list[int]:
@@ -396,7 +398,12 @@ def texts_of(documents: DataFrame, narrow: DataFrame, nodes: DataFrame, k: int,
 
 
 def links_and_components(documents: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """narrow (doc_id, hash of the text, n, node) of all rows, and comp of each node that has a link."""
+    """narrow (doc_id, hash of the text, n, node) of all rows, and comp of each node that has a link; both are written."""
+    with batch_rows(documents.sparkSession, BATCH):
+        return found_links(documents, scratch, k, percent)
+
+
+def found_links(documents: DataFrame, scratch: Scratch, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = documents.sparkSession
     documents = documents.select("doc_id", "text")
     hashed = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
