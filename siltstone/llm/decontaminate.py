@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch, byte_slices, delete, fresh, written
+from siltstone.llm.filters import among_maybe
 from siltstone.llm.words import ALNUM, word_hashes
 
 SHARD_WORDS = 1 << 20
@@ -285,7 +286,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The rows of documents without a hit, with all their columns.
 
     Words, and so hits, depend on the text alone: the index has a hash of each text in place of an id, and the rows whose
-    text has the hash of a hit go, whatever their ids. Null and repeated ids do not matter.
+    text has the hash of a hit go, whatever their ids. Null and repeated ids do not matter. Only rows that a bitmap of the
+    hits' hashes does not clear meet the hits: however many these are, the other texts are not exchanged.
     """
     text_hash = F.xxhash64("text")
     marked = documents.select(text_hash.alias("doc_id"), "text")
@@ -293,4 +295,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     index = f"{scratch.folder}/postings"
     hit = scratch.put(search(build(marked, index), benchmark, n).filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct(), "hits")
     delete(documents.sparkSession, index)
-    return documents.join(hit, text_hash == F.col("__hit"), "left_anti")
+    rows = documents.select(F.struct(*documents.columns).alias("__row"), text_hash.alias("__h"))
+    return among_maybe(rows, hit, lambda some: some.join(hit, F.col("__h") == F.col("__hit"), "left_anti")).select("__row.*")

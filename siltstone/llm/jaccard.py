@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch, batch_rows, mix64
-from siltstone.llm.filters import among, bits_of, buckets_for, flagged
+from siltstone.llm.filters import among, among_maybe, bits_of, buckets_for, flagged
 from siltstone.llm.words import shingle_sets, utf8
 
 #: The weight of a tile: nodes, of which one of HEAVY elements or more weighs as many as it has HEAVY elements.
@@ -530,9 +530,3 @@ def representatives(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     if not again.isEmpty():
         kept = among_maybe(kept, again, lambda some: some.dropDuplicates(["doc_id", "__h"]))
     return kept.select(*documents.columns)
-
-
-def among_maybe(df: DataFrame, hashes: DataFrame, use) -> DataFrame:
-    """Applies a step to the rows whose __h may be among some hashes; the others are neither changed nor exchanged."""
-    told = flagged(df, F.col("__h"), hashes, buckets_for(hashes.count()))
-    return told.filter("not __maybe").drop("__maybe").unionByName(use(told.filter("__maybe").drop("__maybe")))

@@ -62,6 +62,17 @@ BINS = 64
 FEATURES = PAIRS + WORD_BINS + BINS
 
 
+def distinct(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How many different hashes each row has; a row is sorted alone, which costs much less than all rows' pairs."""
+    out, a = np.zeros(len(words), np.int64), 0
+    for i, n in enumerate(words.tolist()):
+        if n:
+            own = np.sort(hashes[a : a + n])
+            out[i] = 1 + np.count_nonzero(own[1:] != own[:-1])
+        a += n
+    return out
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, features and log counts of some texts, as a sparse matrix."""
     body, offs = utf8(texts)
@@ -77,7 +88,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bins = np.bincount(owner * WORD_BINS + (hashes & np.uint64(WORD_BINS - 1)).astype(np.int64), minlength=n * WORD_BINS).reshape(n, WORD_BINS)
     # length in powers of two, share of words that are new, share of words equal to the one before: each in 16 bins
     again = np.bincount(owner[1:], weights=(hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1]), minlength=n) if len(owner) else np.zeros(n)
-    fresh = np.bincount(np.unique(np.stack((owner.astype(np.uint64), hashes)), axis=1)[0].astype(np.int64), minlength=n) if len(owner) else np.zeros(n)
+    fresh = distinct(hashes, words)
     some = words > 0
     shape = np.zeros((n, BINS), np.int64)
     at = np.arange(n)

@@ -16,19 +16,21 @@ SPACED = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
 ALNUM = np.array([0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80 for c in range(256)])
 LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], dtype=np.uint8)
 BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 19
-_powers = np.ones(1, dtype=np.uint64)
+#: What a byte adds at the first place of a word.
+VALUE = LOWER.astype(np.uint64) + np.uint64(1)
+_powers = {BASE: np.ones(1, dtype=np.uint64)}
 
 
-def powers(n: int) -> np.ndarray:
-    """BASE^0 to BASE^(n-1) modulo 2^64."""
-    global _powers
-    if len(_powers) < n:
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    """base^0 to base^(n-1) modulo 2^64."""
+    if len(_powers.get(base, ())) < n:
         size = max(64, 1 << (n - 1).bit_length())
-        steps = np.full(size, BASE, dtype=np.uint64)
+        steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
-        _powers = np.multiply.accumulate(steps)
-    return _powers
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:n]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,15 +56,17 @@ def _chunk_words(body: np.ndarray, cut: np.ndarray, table: np.ndarray) -> tuple[
     first[1:] &= ~inside[:-1]
     if len(cut):
         first[cut] = inside[cut]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return at, np.zeros(0, np.uint64)
     starts = np.flatnonzero(first)
-    which = np.searchsorted(at, starts)
-    lengths = np.diff(np.append(which, len(at)))
-    place = np.arange(len(at)) - np.repeat(which, lengths)
-    terms = (LOWER[body[at]].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
-    return starts, mix64(np.add.reduceat(terms, which) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    ends = np.flatnonzero(last) + 1
+    # sums over the whole chunk; a word's is a difference, moved to the word's start by the inverse of the base
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(VALUE.take(body) * powers(len(body)), out=sums[1:])
+    terms = (sums[ends] - sums[starts]) * powers(len(body), INVERSE)[starts]
+    return starts, mix64(terms + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def word_hashes(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +104,17 @@ def shingle_sets(column: pa.Array, k: int, table: np.ndarray = SPACED) -> Iterat
         b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK, side="right")))
         hashes, counts = word_hashes(column.slice(a, b - a), table)
         a, at = b, 0
+        # the shingles that start at each word; those that reach beyond their row are not taken
+        whole = np.full(max(0, len(hashes) - k + 1), k, dtype=np.uint64)
+        for j in range(k):
+            whole += hashes[j : j + len(whole)] * weights[j]
+        whole = mix64(whole)
         for n in counts.tolist():
-            h = hashes[at : at + n]
+            if n >= k:
+                items = np.sort(whole[at : at + n - k + 1])
+            else:
+                items = mix64(np.add.reduce(hashes[at : at + n] * weights[:n], keepdims=True) + np.uint64(n))[: min(n, 1)]
             at += n
-            m = max(1, n - k + 1) if n else 0
-            total = np.full(m, min(n, k), dtype=np.uint64)
-            for j in range(min(n, k)):
-                total += h[j : j + m] * weights[j]
-            yield np.unique(mix64(total))
+            new = np.ones(len(items), bool)
+            np.not_equal(items[1:], items[:-1], out=new[1:])
+            yield items[new]

@@ -68,3 +68,12 @@ def test_edge_cases(spark):
     none = quality.learn(df, labels.limit(0))
     assert {r["score"] for r in quality.score(df, none).collect()} == {0.5}
     assert quality.score(df.limit(0), none).count() == 0
+
+
+def test_distinct_words_of_each_row():
+    rng = np.random.default_rng(3)
+    words = np.array([0, 5, 1, 0, 300, 2, 0])
+    hashes = rng.integers(0, 40, words.sum()).astype(np.uint64) << np.uint64(57)
+    edges = np.cumsum(words)
+    assert quality.distinct(hashes, words).tolist() == [len(set(hashes[b - n : b].tolist())) for b, n in zip(edges.tolist(), words.tolist(), strict=True)]
+    assert quality.distinct(hashes[:0], words[:0]).tolist() == []

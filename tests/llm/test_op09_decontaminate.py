@@ -77,6 +77,30 @@ def test_clean_decides_by_text(spark):
     assert decontaminate.clean(hot, bench, 3).count() == 599
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for exchanges."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_clean_exchanges_no_other_texts(spark):
+    """Also where the hits are too many to be broadcast, which a threshold of nothing stands for."""
+    rng = random.Random(5)
+    rows = [(i, f"{rng.randbytes(2000).hex()} {'a b c' if i % 50 == 0 else i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        left = {r["doc_id"]: r["text"] for r in decontaminate.clean(df, bench, 3).collect()}
+        assert left == {i: t for i, t in rows if i % 50}
+        assert shuffled(spark) - before < 500_000  # of 4 MB; the 20 texts that go have 80 kB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
