@@ -8,6 +8,7 @@ model; every other word goes through the whole tokenizer. Results are kept from
 
 from __future__ import annotations
 
+import itertools
 import os
 
 import numpy as np
@@ -17,7 +18,8 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 KEEP = 200_000
-CHUNK = 1 << 20
+#: Bytes of text whose distinct words are looked up at once: more of them share a word.
+CHUNK = 4 << 20
 #: ASCII punctuation without the apostrophe (contractions) as a character class.
 MARKS = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*"""
 SIMPLE = rf"^(?P<a>{MARKS})(?P<b>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<c>{MARKS})$"
@@ -53,12 +55,13 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[int, str] | str, int] = {}
+        # places of words, and of lower-case cores
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.pieces = 0
 
-    def add(self, words: list[str], ids: list[list[int]]) -> None:
+    def add(self, words: list[str], ids: list[list[int]], core: bool) -> None:
         need = self.used + sum(map(len, ids))
         if need > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(max(need, len(self.pool)), np.int32)))
@@ -69,16 +72,15 @@ class Encoder:
         ends = self.used + np.cumsum(lengths)
         self.starts[self.pieces : self.pieces + len(ids)] = ends - lengths
         self.lengths[self.pieces : self.pieces + len(ids)] = lengths
-        self.pool[self.used : need] = np.fromiter((i for x in ids for i in x), np.int32, need - self.used)
-        self.known.update(zip(words, range(self.pieces, self.pieces + len(ids)), strict=True))
+        self.pool[self.used : need] = np.fromiter(itertools.chain.from_iterable(ids), np.int32, need - self.used)
+        self.known[core].update(zip(words, range(self.pieces, self.pieces + len(ids)), strict=True))
         self.pieces, self.used = self.pieces + len(ids), need
 
     def places(self, words: list[str], core: bool) -> np.ndarray:
-        """Where each word's ids are. Cores are kept under a name that no other word can have."""
-        names = [" " + w for w in words] if core else words
-        get = self.known.get
-        at = [get(w, -1) for w in names]
-        lacking = [i for i, x in enumerate(at) if x < 0]
+        """Where each word's ids are."""
+        known = self.known[core]
+        at = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(at < 0).tolist()
         if lacking:
             new = [words[i] for i in lacking]
             if core:
@@ -86,14 +88,13 @@ class Encoder:
                 ids = [[t.id for t in tokenize(w if w.isascii() else "".join([letters[b] for b in w.encode()]))] for w in new]
             else:
                 ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.add([names[i] for i in lacking], ids)
-            for i in lacking:
-                at[i] = self.known[names[i]]
-        return np.array(at, np.int64)
+            at[lacking] = np.arange(self.pieces, self.pieces + len(new))
+            self.add(new, ids, core)
+        return at
 
     def distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A pool with starts and lengths of the ids of distinct words."""
-        if len(self.known) > KEEP:
+        if sum(map(len, self.known)) > KEEP:
             self.clear()
         parts = np.zeros((len(words), 3), np.int64)
         empty = self.places([""], False)[0]

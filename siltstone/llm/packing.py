@@ -28,7 +28,7 @@ from siltstone.llm.encode import encoder
 
 WINDOW = 2048
 RUN = 1 << 19
-SLICE = 1 << 20
+SLICE = 4 << 20
 SENTENCE_PENALTY, CUT_PENALTY = 4.0, 16.0
 #: At most this many ids lie between neighbouring places for a cut.
 STEP = 128

@@ -99,3 +99,14 @@ def test_edge_cases(spark, monkeypatch):
     assert sum(r["length"] for r in out if r["doc_id"] == 7) == 2 * (len(whole("same")) + 1)
     assert sum(r["length"] for r in out if r["doc_id"] is None) == len(whole("null id")) + 1
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_words_are_looked_up_once_in_megabytes_of_text(monkeypatch):
+    enc, asked = encode.Encoder(queries.tokenizer_path()), []
+    lookup = enc.places
+    monkeypatch.setattr(enc, "places", lambda words, core: asked.extend(words) or lookup(words, core))
+    text = "The theory, of (Words) ab1c Ünder snake_case the of\n"
+    ids, counts = enc.column(pa.array([text * 12000, None, text * 30000, text]))
+    one = enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert counts.tolist() == [12000 * len(one), 0, 30000 * len(one), len(one)] and ids.tolist() == 42001 * one
+    assert asked.count("theory") == 1
