@@ -32,8 +32,8 @@ TRUST1 = (0.0, 0.12, 0.28, 0.42, 0.52, 0.60, 0.66, 0.70)
 PRIOR = 12
 LEAST_REST = 2048
 LOW32 = np.int64((1 << 32) - 1)
-#: What running sums of 16 counts gain when one of them grows.
-GAIN = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.int32)
+#: What running sums of 16 counts gain when one of them grows. A block counts at most 2 * LONGEST + 1 in all: 16 bits hold it.
+GAIN = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.int16)
 LONGEST = 4095
 #: What a slot's confidence changes by, after a miss and after a hit.
 CHANGE = np.array([k // 2 - k for k in range(MOST + 1)] + [min(k + 1, MOST) - k for k in range(MOST + 1)], np.int32)
@@ -70,7 +70,7 @@ class Models:
         self.leaf_of = np.zeros(n * vocabulary, np.int16)
         self.id_base = np.arange(n, dtype=np.int64) * vocabulary
         self.lanes = np.arange(n, dtype=np.int64)
-        self.sums = [np.zeros((n * 16**level, 17), np.int32) for level in range(3)]
+        self.sums = [np.zeros((n * 16**level, 17), np.int16) for level in range(3)]
         self.flat = [x.reshape(-1) for x in self.sums]
         self.names = np.zeros(n << 12, np.int32)
         self.total, self.used = np.zeros(n, np.int64), np.ones(n, np.int64)
@@ -79,9 +79,11 @@ class Models:
 
     def add(self, lanes: np.ndarray, leaf: np.ndarray) -> None:
         some = slice(0, len(lanes)) if lanes is self.live else lanes
-        self.sums[0][some] += GAIN.take(leaf >> 8, axis=0)
-        self.sums[1][(lanes << 4) + (leaf >> 8)] += GAIN.take(leaf >> 4 & 15, axis=0)
-        self.sums[2][(lanes << 8) + (leaf >> 4)] += GAIN.take(leaf & 15, axis=0)
+        self.sums[0][some] += GAIN.take(leaf >> 8, axis=0, mode="clip")
+        for sums, row, digit in ((self.sums[1], (lanes << 4) + (leaf >> 8), leaf >> 4 & 15), (self.sums[2], (lanes << 8) + (leaf >> 4), leaf & 15)):
+            grown = sums.take(row, axis=0, mode="clip")
+            grown += GAIN.take(digit, axis=0, mode="clip")
+            sums[row] = grown
         self.total[some] += 1
 
     def predict(self, k: int) -> None:

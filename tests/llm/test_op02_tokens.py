@@ -112,3 +112,13 @@ def test_edge_cases_and_many_files(spark, tmp_path, monkeypatch):
     twice = spark.createDataFrame([(None, "n"), (1, "x"), (1, "x")], "doc_id long, text string")
     assert [(r["doc_id"], r["start"]) for r in tokenfile.round_trip(twice, PATH).orderBy("start").collect()] == [(None, 0), (1, 2), (1, 4)]
     assert tokenfile.round_trip(df.limit(0), PATH).count() == 0
+
+
+def test_counts_of_16_bits_hold_the_longest_block():
+    rng = np.random.default_rng(7)
+    blocks = [rng.permutation(50_000)[: coder.LONGEST], np.full(coder.LONGEST, 3), rng.integers(0, 50_000, coder.LONGEST)]
+    bodies = coder.encode(blocks, 50_000)
+    for got, want in zip(coder.decode(bodies, [len(b) for b in blocks], 50_000), blocks, strict=True):
+        assert got.tolist() == want.tolist()
+    assert 2 * coder.LONGEST + 1 <= np.iinfo(coder.GAIN.dtype).max
+    assert sum(x.nbytes for x in coder.Models(8, 50_000).sums) < 8 * 10_000
