@@ -148,13 +148,19 @@ class Models:
 
 
 def lanes_of(vocabulary: int) -> int:
-    """Blocks that are coded together."""
+    """Blocks that may be coded together."""
     return max(8, min(BATCH, TABLE_BYTES // (2 * vocabulary)))
 
 
+def lanes_for(count: int, vocabulary: int) -> int:
+    """Blocks that are coded together of so many: batches are equally large, as one of a few blocks takes as many steps."""
+    most = lanes_of(vocabulary)
+    return -(-count // max(1, -(-count // most))) or most
+
+
 def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """The bytes of each block; all but the last must be equally long, none empty, of at most LONGEST ids."""
-    out, step = [], lanes_of(vocabulary)
+    out, step = [], lanes_for(len(blocks), vocabulary)
     for a in range(0, len(blocks), step):
         out += _encode(blocks[a : a + step], vocabulary)
     return out
@@ -218,7 +224,7 @@ def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
 
 def decode(bodies: list[bytes], lengths: list[int], vocabulary: int) -> list[np.ndarray]:
     """The ids of blocks; all but the last must be equally long, none empty."""
-    out, step = [], lanes_of(vocabulary)
+    out, step = [], lanes_for(len(bodies), vocabulary)
     for a in range(0, len(bodies), step):
         out += _decode(bodies[a : a + step], lengths[a : a + step], vocabulary)
     return out

@@ -66,14 +66,15 @@ def load(data: bytes | memoryview) -> tuple[list[int | None], np.ndarray, Iterat
 
     def pieces() -> Iterator[np.ndarray]:
         ends = 8 + np.cumsum(table[:, 0])
-        for a in range(0, n_blocks, coder.BATCH):
+        step = coder.lanes_for(n_blocks, vocabulary)
+        for a in range(0, n_blocks, step):
             bodies = []
-            for i in range(a, min(n_blocks, a + coder.BATCH)):
+            for i in range(a, min(n_blocks, a + step)):
                 body = bytes(data[int(ends[i] - table[i, 0]) : int(ends[i])])
                 if zlib.crc32(body) != table[i, 2]:
                     raise Damaged(f"block {i}")
                 bodies.append(body)
-            yield np.concatenate(coder.decode(bodies, table[a : a + coder.BATCH, 1].tolist(), vocabulary))
+            yield np.concatenate(coder.decode(bodies, table[a : a + step, 1].tolist(), vocabulary))
 
     return [None if z else x for x, z in zip(doc_ids.tolist(), nulls.tolist(), strict=True)], lengths, pieces()
 

@@ -122,3 +122,10 @@ def test_counts_of_16_bits_hold_the_longest_block():
         assert got.tolist() == want.tolist()
     assert 2 * coder.LONGEST + 1 <= np.iinfo(coder.GAIN.dtype).max
     assert sum(x.nbytes for x in coder.Models(8, 50_000).sums) < 8 * 10_000
+
+
+def test_batches_are_equally_large():
+    blocks = -(-tokenfile.FILE_IDS // coder.BLOCK) + 1  # of a full file
+    assert coder.lanes_for(blocks, 50_000) == -(-blocks // 2) < coder.BATCH
+    assert [coder.lanes_for(n, 50_000) for n in (1, 7, coder.BATCH)] == [1, 7, coder.BATCH] and coder.lanes_for(0, 50_000) > 0
+    assert coder.lanes_for(100, 1 << 24) == 8
