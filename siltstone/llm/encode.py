@@ -40,7 +40,10 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     ends = np.cumsum(lengths)
     if not len(ends) or not ends[-1]:
         return pool[:0]
-    return pool[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
+    kind = np.int32 if max(len(pool), int(ends[-1])) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(ends[-1], dtype=kind)
+    return pool[at]
 
 
 class Encoder:

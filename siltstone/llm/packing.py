@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siltstone.llm.common import byte_slices
+from siltstone.llm.common import binary_slices, byte_slices
 from siltstone.llm.encode import encoder
 
 WINDOW = 2048
@@ -125,8 +125,6 @@ def pack_batches(path: str, end_id: int, window: int):
             nonlocal sequence, names, starts, totals, parts, held
             ids = np.concatenate(parts).astype("<u4")
             doc, start, place, length, win, offset = pack_run(ids, np.array([len(p) for p in parts]), ends_sentence, window)
-            data = memoryview(ids.view(np.uint8))
-            bodies = [data[4 * a : 4 * b] for a, b in zip(place.tolist(), (place + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names, pa.int64()).take(pa.array(doc)),
@@ -135,12 +133,13 @@ def pack_batches(path: str, end_id: int, window: int):
                     pa.array(np.array(totals)[doc], pa.int64()),
                     pa.array(win + sequence, pa.int64()),
                     pa.array(offset, pa.int64()),
-                    pa.array(bodies, pa.binary()),
+                    binary_slices(ids, 4 * np.append(place, len(ids))),
                 ],
                 names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
             sequence += int(win[-1]) + 1
             names, starts, totals, parts, held = [], [], [], [], 0
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             for some in byte_slices(b, 1, SLICE):

@@ -110,3 +110,24 @@ def test_words_are_looked_up_once_in_megabytes_of_text(monkeypatch):
     one = enc.tokenizer.encode(text, add_special_tokens=False).ids
     assert counts.tolist() == [12000 * len(one), 0, 30000 * len(one), len(one)] and ids.tolist() == 42001 * one
     assert asked.count("theory") == 1
+
+
+def test_packed_ids_are_freed(monkeypatch):
+    """A worker serves many tasks: what one packed must not stay."""
+    import tracemalloc
+
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(["some words, of a text. " * 4000] * 40)], names=["doc_id", "text"])
+    run = packing.pack_batches(PATH, 1, 2048)
+
+    def ids():
+        return sum(sum(out.column(2).to_pylist()) for out in run(iter([batch])))
+
+    ids()
+    tracemalloc.start()
+    before, n = tracemalloc.get_traced_memory()[0], ids()
+    kept = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert n > 900_000 and kept < n
