@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import coder
-from siltstone.llm.common import byte_slices, fresh, write_file, written
+from siltstone.llm.common import binary_slices, byte_slices, fresh, write_file, written
 from siltstone.llm.encode import encoder
 
 MAGIC = b"SILTTOK1"
 FILE_IDS = 4 << 20
-SLICE = 1 << 20
+SLICE = 4 << 20
 MANIFEST = "part int, number int, name string, docs long, ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids binary"
 
@@ -132,12 +132,11 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for piece in pieces:
                 held = np.concatenate((held, piece))
                 to = int(np.searchsorted(ends, at + len(held), side="right"))
-                data = memoryview(held.astype("<u4").view(np.uint8))
-                edges = [0, *(4 * (ends[done:to] - at)).tolist()]
-                bodies = [data[x:y] for x, y in zip(edges, edges[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[done:to], pa.int64()), pa.array(starts[done:to], pa.int64()), pa.array(lengths[done:to]), pa.array(bodies, pa.binary())], schema=schema)
-                held = held[edges[-1] // 4 :]
-                done, at = to, at + edges[-1] // 4
+                edges = np.append(0, 4 * (ends[done:to] - at))
+                bodies = binary_slices(held.astype("<u4"), edges)
+                yield pa.RecordBatch.from_arrays([pa.array(names[done:to], pa.int64()), pa.array(starts[done:to], pa.int64()), pa.array(lengths[done:to]), bodies], schema=schema)
+                held = held[int(edges[-1]) // 4 :]
+                done, at = to, at + int(edges[-1]) // 4
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:

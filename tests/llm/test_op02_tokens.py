@@ -129,3 +129,37 @@ def test_batches_are_equally_large():
     assert coder.lanes_for(blocks, 50_000) == -(-blocks // 2) < coder.BATCH
     assert [coder.lanes_for(n, 50_000) for n in (1, 7, coder.BATCH)] == [1, 7, coder.BATCH] and coder.lanes_for(0, 50_000) > 0
     assert coder.lanes_for(100, 1 << 24) == 8
+
+
+def test_read_ids_are_freed():
+    """A worker serves many tasks: what one read must not stay."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    ids = np.tile(np.arange(400, dtype=np.int32), 500)
+    body = b"".join(tokenfile.dump(list(range(500)), np.full(500, 400), ids, 50_000))
+
+    def read():
+        batch = pa.RecordBatch.from_arrays([pa.array([body]), pa.array([7], pa.int64())], names=["content", "first"])
+        return [(r["start"], len(r["ids"]), zlib.crc32(r["ids"])) for out in tokenfile.read_batches(iter([batch])) for r in out.to_pylist()]
+
+    assert read() == [(7 + 400 * i, 1600, zlib.crc32(ids[:400].astype("<u4").tobytes())) for i in range(500)]
+    tracemalloc.start()
+    before, rows = tracemalloc.get_traced_memory()[0], len(read())
+    kept = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert rows == 500 and kept < ids.nbytes // 2
+
+
+def test_a_writer_works_step_by_step_only_where_it_must(monkeypatch):
+    """Orders 1 and 2 are mixed and hashes taken for many places at once; a reader gets the same ids."""
+    asked = []
+    mix = coder.shares
+    monkeypatch.setattr(coder, "shares", lambda *a: asked.append(a[0].shape) or mix(*a))
+    rng = np.random.default_rng(11)
+    blocks = [rng.zipf(1.2, n) % 50_000 for n in (700, 700, 333)]
+    bodies = coder.encode(blocks, 50_000)
+    assert sum(x[0] for x in asked) == 700 and len(asked) <= -(-700 // coder.ROWS) + 1
+    for got, want in zip(coder.decode(bodies, [700, 700, 333], 50_000), blocks, strict=True):
+        assert got.tolist() == want.tolist()
