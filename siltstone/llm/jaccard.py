@@ -1,9 +1,12 @@
 """Exact Jaccard join on word shingles: links between documents and their connected components.
 
 A node is a distinct shingle set; rows with equal sets share it. Sizes fall in bands so wide that linked sets lie
-in one band or in neighbouring ones. For each pair of bands the hash space is cut in one part more than the
-number of elements by which two linked sets can differ, so linked sets agree in some part entirely: what they
-hold there is a key. No link can be lost, and unlinked sets seldom share a key.
+in one band or in neighbouring ones. For each pair of bands the hash space is cut in more parts than the
+number of elements by which two linked sets can differ, so linked sets agree in some parts entirely: what they
+hold there is a key. No link can be lost, and unlinked sets seldom share a key. All sets that hold nothing in a part
+would share its key: a set leaves out the parts that hold at most so many elements (nothing, one, ...) if a linked
+set still agrees with it in one that holds more. Parts they agree in hold equally many, so the set of the two that
+leaves out more decides, and the key of such a part is one of both.
 
 1. A partial aggregate finds the keys that two or more nodes share and names the least node of each as its leader; they
    set bits of a bitmap, and only nodes of such keys are exchanged. Each node has a bitmap of the parities of its hashed
@@ -45,6 +48,8 @@ TILE = 512
 HEAVY = 4096
 SALT_ROWS = 2000
 KEY_BITS = np.uint64(52)
+#: One part more for every so many elements by which linked sets can differ: parts that hold nothing can be left out.
+SPARE = 16
 #: Links that one task contracts, and rows whose pairs are formed at once.
 FOREST = 500_000
 ROWS = 20_000
@@ -76,9 +81,10 @@ class Keys:
         return int(np.searchsorted(self.ends, n, side="right")) - 1
 
     def parts(self, band: int) -> int:
-        """One more than the elements by which two linked sets can differ whose sizes are in this band or below."""
+        """More than the elements by which two linked sets can differ whose sizes are in this band or below."""
         most = int(self.ends[band + 1]) - 1
-        return 2 * most * (100 - self.percent) // (100 + self.percent) + 1
+        differ = 2 * most * (100 - self.percent) // (100 + self.percent)
+        return differ + 1 + -(-differ // SPARE)
 
     def of(self, items: np.ndarray) -> np.ndarray:
         n = len(items)
@@ -88,10 +94,18 @@ class Keys:
         out = []
         mine = self.band(n)
         for band in (mine, mine + 1):
+            # the largest set of this band that can be linked with this one; by how much they can differ
+            other = min(int(self.ends[band + 1]) - 1, n * 100 // self.percent)
+            if other < self.ends[band]:
+                continue
             p = self.parts(band)
+            spare = p - 1 - (n + other) * (100 - self.percent) // (100 + self.percent)
             edges = np.searchsorted((items >> np.uint64(32)) * np.uint64(p) >> np.uint64(32), np.arange(p + 1))
-            tag = np.arange(p, dtype=np.uint64) + np.uint64(band << 40)
-            out.append(mix64(np.diff(sums[edges]) ^ mix64(tag)) >> (np.uint64(64) - KEY_BITS))
+            held = np.diff(edges)
+            # parts that hold the fewest elements are no keys, if there are no more of them than can be spared
+            part = np.flatnonzero(held >= np.searchsorted(np.cumsum(np.bincount(held)), spare, side="right"))
+            tag = part.astype(np.uint64) + np.uint64(band << 40)
+            out.append(mix64((sums[edges[part + 1]] - sums[edges[part]]) ^ mix64(tag)) >> (np.uint64(64) - KEY_BITS))
         return np.concatenate(out).astype(np.int64)
 
 

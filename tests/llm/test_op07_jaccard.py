@@ -96,6 +96,41 @@ def test_keys_lose_no_link():
                 assert jaccard.may_link(bits, np.array([0]), np.array([len(a)]), bits, np.array([1]), np.array([len(b)]), percent)[0]
 
 
+def test_unlinked_sets_share_no_keys():
+    """What sets hold nothing of is no key that they share, or groups would grow with the table."""
+    rng = np.random.default_rng(4)
+    for percent, k in ((80, 450), (85, 450), (80, 90)):
+        keys = jaccard.Keys(percent)
+        for n in range(4 * k // 5, k, k // 18):
+            own = [keys.of(np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))) for _ in range(200)]
+            every, times = np.unique(np.concatenate(own), return_counts=True)
+            assert len(every) > 20 * k and (times > 1).sum() <= 2
+
+
+def test_links_at_the_threshold_share_a_key():
+    """Sets that differ by as much as linked ones can, one difference in each of as many parts as possible."""
+    rng = np.random.default_rng(5)
+    for percent in (80, 85):
+        keys = jaccard.Keys(percent)
+        for n in [*range(1, 24), 57, 400]:
+            for grow in (0, 1):
+                band = keys.band(n) + grow
+                p = keys.parts(band)
+                a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+                own, part = keys.of(a), ((a >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)).astype(int)
+                # others in empty parts first, and in place of one element of each part
+                free = [x for x in range(p) if x not in set(part.tolist())] + list(range(p))
+                added = [np.uint64((x * 2**32 // p + 1) << 32) + np.uint64(int(rng.integers(1, 2**31))) for x in free]
+                gone = np.unique(part, return_index=True)[1]
+                gone = gone[np.argsort(np.bincount(part, minlength=p)[part[gone]], kind="stable")]
+                for less in range(len(gone) + 1):
+                    for more in range(0, len(added) + 1, 1 + len(added) // 20):
+                        if jaccard.linked(n - less, n, n - less + more, percent):
+                            b = np.unique(np.concatenate((np.delete(a, gone[:less]), np.array(added[:more], np.uint64))))
+                            if jaccard.linked(jaccard.overlap(a, b), len(a), len(b), percent):
+                                assert np.isin(own, keys.of(b)).any(), (percent, n, less, more)
+
+
 def test_links_of_a_large_group_stay_linear(spark):
     """5000 near copies of one text, some linked only by way of others: links that are joined number at most 2 x nodes."""
     rng = random.Random(9)
