@@ -297,10 +297,11 @@ CODE_ROWS = "id long, response string"
 
 
 def code_files(spark, sf_dir) -> str:
-    """Three files of JSON lines, one in each folder below the root."""
+    """Three files of JSON lines by id, one in each folder below the root. The sort has to begin with the folder, as the writer
+    else sorts by the folder alone, in place of it."""
     path = folder(spark)
     rows = code(spark, sf_dir).select("id", F.when(F.col("id") % 19 > 0, F.col("content")).alias("response"), F.expr("CAST(id % 3 AS INT)").alias("part"))
-    rows.repartition("part").sortWithinPartitions("id").write.option("ignoreNullFields", "false").partitionBy("part").json(path)
+    rows.repartition("part").sortWithinPartitions("part", "id").write.option("ignoreNullFields", "false").partitionBy("part").json(path)
     return path
 
 
