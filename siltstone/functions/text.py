@@ -127,13 +127,20 @@ def sanitized(c: Column) -> Column:
 
 
 def humanized(n: Column) -> Column:
-    """Bytes with one decimal in B, KB, MB, GB or TB; ties go to the even digit."""
-    units = ("B", "KB", "MB", "GB")
-    out = None
-    for i, u in enumerate(units):
-        made = F.format_string(f"%.1f {u}", F.bround(n / F.lit(float(1024**i)), 1))
-        out = F.when(n < 1024 ** (i + 1), made) if out is None else out.when(n < 1024 ** (i + 1), made)
-    return out.otherwise(F.format_string("%.1f TB", F.bround(n / F.lit(float(1024**4)), 1)))
+    """Bytes with one decimal in B, KB, MB, GB or TB; ties go to the even digit. Tenths are those of the exact value of whole bytes,
+    of which a large number's shortest decimal form may be a tie where there is none."""
+
+    def made(unit: str, factor: int) -> Column:
+        size = F.abs(n / F.lit(float(factor)))
+        tenths = F.rint(size % 1.0 * 10)
+        whole = size - size % 1.0 + F.floor(tenths / 10)
+        digits = F.when(whole < float(1 << 63), whole.cast("bigint").cast("string")).otherwise(F.format_string("%.0f", whole))
+        return F.concat(F.when(n < 0, F.lit("-")).otherwise(F.lit("")), digits, F.format_string(f".%.0f {unit}", tenths % 10))
+
+    out = F.when(n.isNull(), F.lit(None).cast("string"))
+    for i, u in enumerate(("B", "KB", "MB", "GB")):
+        out = out.when(n < 1024 ** (i + 1), made(u, 1024**i))
+    return out.otherwise(made("TB", 1024**4))
 
 
 def typed(c: Column) -> Column:
