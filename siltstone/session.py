@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,17 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def conf(spark: SparkSession, key: str, value: object) -> Iterator[None]:
+    """What is executed inside has another value of a setting."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
