@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, StringType
 
 from siltstone.functions import syntax
 
+#: Rows whose values are Python objects at a time.
+ROWS = 256
+
+
+def by_rows(function: Callable, returns: DataType, *columns: pa.Array) -> pa.Array:
+    """A function of each row's values. Only a few rows at a time are Python objects: a batch of whole texts is large enough."""
+    kind = to_arrow_type(returns)
+    parts = [zip(*(c.slice(a, ROWS) for c in columns), strict=True) for a in range(0, len(columns[0]), ROWS)]
+    return pa.concat_arrays([pa.array([], kind), *(pa.array([function(*(v.as_py() for v in row)) for row in part], kind) for part in parts)])
+
 
 def over(function, returns: DataType):
-    @F.pandas_udf(returns)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(function)
+    @F.arrow_udf(returns)
+    def run(s: pa.Array) -> pa.Array:
+        return by_rows(function, returns, s)
 
     return run
 
