@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import gzip
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -82,9 +82,9 @@ def line_counts(spark, sf_dir):
     return spark.createDataFrame([(files.count_lines(spark, path), files.count_lines(spark, path, blank=False))], "every_line long, filled long")
 
 
-@F.pandas_udf(BinaryType())
-def zipped(data: pd.Series) -> pd.Series:
-    return data.map(gzip.compress)
+@F.arrow_udf(BinaryType())
+def zipped(data: pa.Array) -> pa.Array:
+    return udfs.by_rows(gzip.compress, BinaryType(), data)
 
 
 @query("SELECT doc_id AS id, md5(coalesce(text, '')) AS content_md5 FROM documents WHERE doc_id % 7 > 0")

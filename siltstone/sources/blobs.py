@@ -8,10 +8,13 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from siltstone.functions.udfs import by_rows
+
 log = logging.getLogger(__name__)
 
 
@@ -36,9 +39,9 @@ def text(data: bytes | None, charset: str | None) -> str | None:
         return data.decode("utf-8", errors="replace")
 
 
-@F.pandas_udf(StringType())
-def decoded(data: pd.Series, charset: pd.Series) -> pd.Series:
-    return pd.Series([text(d, c) for d, c in zip(data, charset, strict=True)], dtype=object)
+@F.arrow_udf(StringType())
+def decoded(data: pa.Array, charset: pa.Array) -> pa.Array:
+    return by_rows(text, StringType(), data, charset)
 
 
 def blob_files(spark: SparkSession, path: str) -> DataFrame:
